@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.numbers import plain_number_text
@@ -116,41 +116,93 @@ def _pair_value(part: Column, axis: str) -> Column:
     return F.when(part.rlike(_PAIR_MARKS), coordinate_text(part, axis)).otherwise(plain)
 
 
-def coordinate_pair(value: Column | str) -> Column:
-    """struct(lat, lon) of a cell that holds both axes; NULL fields when it does not."""
-    t = F.upper(F.regexp_replace(text(value), "[−–—]", "-"))
-    single = t.rlike(_PAIR_MARKS) & (
-        coordinate_text(t, "lat").isNotNull() | coordinate_text(t, "lon").isNotNull()
+def with_coordinate_pairs(df: DataFrame, columns: list[str], suffix: str = "_pair") -> DataFrame:
+    """Add `<column><suffix>`: struct(lat, lon) of a cell that holds both axes, NULL when it does not.
+
+    Staged like the date parser, so each half is read once."""
+    keep = df.columns
+    stage = df.withColumns(
+        {f"__{c}_t": F.upper(F.regexp_replace(text(f"`{c}`"), "[−–—]", "-")) for c in columns}
+    )
+    split = {}
+    for c in columns:
+        t = F.col(f"`__{c}_t`")
+        hit = t.rlike(PAIR_TEXT)
+        split |= {
+            f"__{c}_p{k}": F.when(hit, strip(F.regexp_extract(t, PAIR_TEXT, k))) for k in (1, 2)
+        }
+        split[f"__{c}_s"] = F.when(hit & t.rlike(_PAIR_MARKS), t)
+    stage = stage.withColumns(split)
+    stage = stage.withColumns(
+        {
+            f"__{c}_one": coordinate_text(f"`__{c}_s`", "lat").isNotNull()
+            | coordinate_text(f"`__{c}_s`", "lon").isNotNull()
+            for c in columns
+        }
     )
-    p1, p2 = strip(F.regexp_extract(t, PAIR_TEXT, 1)), strip(F.regexp_extract(t, PAIR_TEXT, 2))
 
     def letter(p: Column) -> Column:
         ns, ew = p.rlike("[NS]"), p.rlike("[EWOL]")
         return F.when(ns & ew, "bad").when(ns, "lat").when(ew, "lon").otherwise("")
 
-    a1, a2 = letter(p1), letter(p2)
-    bad = (a1 == "bad") | (a2 == "bad") | ((a1 != "") & (a1 == a2))
-    unmarked = (a1 == "") & (a2 == "")
-    swap = F.coalesce(F.abs(_pair_value(p1, "lon")) > 90, F.lit(False))
-    lat_first = F.when(unmarked, ~swap).otherwise((a1 == "lat") | (a2 == "lon"))
-    lat = _pair_value(F.when(lat_first, p1).otherwise(p2), "lat")
-    lon = _pair_value(F.when(lat_first, p2).otherwise(p1), "lon")
-    ok = t.rlike(PAIR_TEXT) & ~single & ~bad & lat.isNotNull() & lon.isNotNull()
-    return F.when(ok, F.struct(lat.alias("lat"), lon.alias("lon")))
-
-
-def convert_coordinate(value: Column | str, axis: str, pair_column: bool = False) -> Column:
-    """Cell text to decimal text: DMS and pairs are converted, plain numbers stay.
-
-    In a pair column a lone value cannot tell its axis, so it is blanked."""
-    v = as_col(value)
-    own = coordinate_text(v, axis)
-    plain = coord_number(v).isNotNull()
-    pair = F.when(own.isNull() & ~plain, coordinate_pair(v)[axis])
-    if pair_column:
-        lone = (text(v) != "") & pair.isNull() & (plain | own.isNotNull())
-        return F.when(pair.isNotNull(), plain_number_text(pair)).when(lone, "").otherwise(v)
-    return F.coalesce(plain_number_text(F.coalesce(own, pair)), v)
+    stage = stage.withColumns(
+        {f"__{c}_a{k}": letter(F.col(f"`__{c}_p{k}`")) for c in columns for k in (1, 2)}
+        | {f"__{c}_w": F.abs(_pair_value(F.col(f"`__{c}_p1`"), "lon")) > 90 for c in columns}
+    )
+    halves = {}
+    for c in columns:
+        a1, a2 = F.col(f"`__{c}_a1`"), F.col(f"`__{c}_a2`")
+        p1, p2 = F.col(f"`__{c}_p1`"), F.col(f"`__{c}_p2`")
+        usable = ~F.col(f"`__{c}_one`") & (a1 != "bad") & (a2 != "bad") & ((a1 == "") | (a1 != a2))
+        swap = F.coalesce(F.col(f"`__{c}_w`"), F.lit(False))
+        lat_first = F.when((a1 == "") & (a2 == ""), ~swap).otherwise((a1 == "lat") | (a2 == "lon"))
+        halves[f"__{c}_qlat"] = F.when(usable, F.when(lat_first, p1).otherwise(p2))
+        halves[f"__{c}_qlon"] = F.when(usable, F.when(lat_first, p2).otherwise(p1))
+    stage = stage.withColumns(halves)
+    stage = stage.withColumns(
+        {f"__{c}_v{axis}": _pair_value(F.col(f"`__{c}_q{axis}`"), axis) for c in columns for axis in ("lat", "lon")}
+    )
+    out = []
+    for c in columns:
+        lat, lon = F.col(f"`__{c}_vlat`"), F.col(f"`__{c}_vlon`")
+        pair = F.struct(lat.alias("lat"), lon.alias("lon"))
+        out.append(F.when(lat.isNotNull() & lon.isNotNull(), pair).alias(c + suffix))
+    return stage.select(*[F.col(f"`{c}`") for c in keep], *out)
+
+
+def convert_coordinates(df: DataFrame, columns: dict[str, str], pair_column: bool = False) -> DataFrame:
+    """Replace coordinate columns (`{column: axis}`) by decimal text: DMS and pairs are converted,
+    plain numbers stay. In a pair column a lone value cannot tell its axis, so it is blanked."""
+    names = list(columns)
+    stage = with_coordinate_pairs(df, names, "__pair")
+    stage = stage.withColumns({f"{c}__own": coordinate_text(f"`{c}`", axis) for c, axis in columns.items()})
+
+    def cell(c: str, axis: str) -> Column:
+        v, own = F.col(f"`{c}`"), F.col(f"`{c}__own`")
+        plain = coord_number(v).isNotNull()
+        pair = F.when(own.isNull() & ~plain, F.col(f"`{c}__pair`")[axis])
+        if pair_column:
+            lone = (text(v) != "") & pair.isNull() & (plain | own.isNotNull())
+            return F.when(pair.isNotNull(), plain_number_text(pair)).when(lone, "").otherwise(v)
+        return F.coalesce(plain_number_text(F.coalesce(own, pair)), v)
+
+    return stage.select(*[cell(c, columns[c]).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+
+
+def coordinate_pair_columns(df: DataFrame, columns: list[str], min_share: float = PAIR_SHARE) -> list[str]:
+    """Columns whose filled cells mostly hold a whole pair; one aggregate for all of them."""
+    if not columns:
+        return []
+    staged = with_coordinate_pairs(df.select(*[F.col(f"`{c}`") for c in columns]), columns)
+    shares = staged.agg(
+        *[
+            F.coalesce(
+                F.count(f"`{c}_pair`") / F.nullif(F.count_if(text(f"`{c}`") != ""), F.lit(0)), F.lit(0.0)
+            ).alias(c)
+            for c in columns
+        ]
+    ).first()
+    return [c for c in columns if shares[c] >= min_share]
 
 
 def grid_round(value: Column, grid: Column | float) -> Column:

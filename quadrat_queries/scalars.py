@@ -184,8 +184,8 @@ def coordinate_dms_text(spark, sf):
 )
 def coordinate_pair_cell(spark, sf):
     staged = occ(spark, sf).select("row_id", F.concat("latitude", F.lit(" ; "), "longitude").alias("cell"))
-    staged = staged.withColumn("pair", C.coordinate_pair("cell"))
-    return staged.select("row_id", F.col("pair.lat").alias("lat"), F.col("pair.lon").alias("lon"))
+    staged = C.with_coordinate_pairs(staged, ["cell"])
+    return staged.select("row_id", F.col("cell_pair.lat").alias("lat"), F.col("cell_pair.lon").alias("lon"))
 
 
 @query(
