@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "records")
+MODULES = ("scalars", "records", "space")
 
 
 def load_all() -> None:
