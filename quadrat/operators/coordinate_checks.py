@@ -47,11 +47,12 @@ def is_swapped(lat: Column, lon: Column) -> Column:
     return F.coalesce((F.abs(lat) > 90) & (F.abs(lat) <= 180) & (F.abs(lon) <= 90), F.lit(False))
 
 
-def all_identical(points: DataFrame, lat: str, lon: str) -> Column:
-    """Scalar: two or more complete points, all at one place. Min and max replace a distinct count."""
-    complete = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    return complete.agg(
-        ((F.count("*") >= 2) & (F.min(lat) == F.max(lat)) & (F.min(lon) == F.max(lon))).alias("same")
+def all_identical(points: DataFrame, lat: Column, lon: Column, counted: Column) -> Column:
+    """Scalar: two or more counted points, all at one place. Min and max replace a distinct count, and
+    conditional aggregates replace a filter that Catalyst would inline through every stage below."""
+    y, x = F.when(counted, lat), F.when(counted, lon)
+    return points.agg(
+        ((F.count_if(counted) >= 2) & (F.min(y) == F.max(y)) & (F.min(x) == F.max(x))).alias("same")
     ).scalar()
 
 
@@ -91,10 +92,8 @@ def validate_coordinates(
     else:
         base = near_place(base, layers.places, "lon", "lat", "__near")
         base = base.withColumn("flag_reference", F.col("__clean") & F.col("__near")).drop("__near")
-    same = all_identical(df.select(
-        F.when(C.plottable(C.coord_number(f"`{lat}`"), C.coord_number(f"`{lon}`")), C.coord_number(f"`{lat}`")).alias("a"),
-        F.when(C.plottable(C.coord_number(f"`{lat}`"), C.coord_number(f"`{lon}`")), C.coord_number(f"`{lon}`")).alias("b"),
-    ), "a", "b")
+    numbers = df.select(C.coord_number(f"`{lat}`").alias("a"), C.coord_number(f"`{lon}`").alias("b"))
+    same = all_identical(numbers, F.col("a"), F.col("b"), C.plottable(F.col("a"), F.col("b")))
     first = (
         F.when(F.col("flag_missing"), "validity_missing")
         .when(F.col("flag_swapped"), "swapped")
@@ -126,8 +125,7 @@ def coordinate_issues(df: DataFrame, lat: str, lon: str, row_id: str = "row_id")
         .otherwise("ok")
     )
     staged = base.withColumn("__issue", issue)
-    fine = staged.filter("__issue = 'ok'")
-    same = all_identical(fine, "lat", "lon")
+    same = all_identical(staged, F.col("lat"), F.col("lon"), F.col("__issue") == "ok")
     out = F.when((F.col("__issue") == "ok") & same, "identical_all").otherwise(F.col("__issue"))
     return staged.withColumn("issue", out).drop("__issue").withColumn(
         "valid", F.col("issue").isin("ok", "zero_zero", "swapped", "identical_all")

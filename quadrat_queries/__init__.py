@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "records", "space")
+MODULES = ("scalars", "records", "space", "mapped", "sensitive")
 
 
 def load_all() -> None:
