@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions.fence import fence
 from quadrat.functions.numbers import plain_number_text
 from quadrat.functions.text import all_of, as_col, strip, text
 
@@ -25,6 +26,9 @@ _BODY = (
 _PART = rf"(?:[NSEWOL]\s*{_BODY}|{_BODY}(?:\s*[NSEWOL])?)"
 PAIR_TEXT = rf"^({_PART})(?:\s*[;,/|]\s*|\s+|(?<=[NSEWOL°º'\"′’″”]))({_PART})$"
 PAIR_SHARE = 0.9
+DMS_FROM = "−–—′’´`″”º"
+DMS_TO = "---''''\"\"°"
+DOUBLE_MARK = "''"
 
 
 def coord_number(value: Column | str) -> Column:
@@ -64,110 +68,119 @@ def _decimal(value: Column) -> Column:
     return F.replace(value, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def coordinate_text(value: Column | str, axis: str) -> Column:
-    """Degrees from DMS, hemisphere or Unicode-minus text, 6 decimals; plain numbers give NULL."""
-    s = text(value)
-    marked = s.rlike(ANGLE_MARKS) | F.upper(s).rlike(r"^[NSEWOL]\b|[NSEWOL]\.?$")
-    clean = F.upper(
-        F.replace(
-            F.regexp_replace(
-                F.regexp_replace(F.regexp_replace(s, "[−–—]", "-"), "[′’´`]", "'"), "[″”]|''", '"'
-            ),
-            F.lit("º"), F.lit("°"),
-        )
+def _stage_degrees(df: DataFrame, sources: dict[str, Column]) -> DataFrame:
+    """Add per source text a struct(size, negative, hemi) of its degrees spelling, NULL when it has none.
+
+    Plain numbers carry no mark and give NULL. Each text meets the pattern once."""
+    marked = {}
+    for name, value in sources.items():
+        s = text(value)
+        marked[f"{name}__c"] = F.when(s.rlike(ANGLE_MARKS) | F.upper(s).rlike(r"^[NSEWOL]\b|[NSEWOL]\.?$"), F.upper(s))
+    df = df.withColumns(marked)
+    cleaned = {}
+    for name in sources:
+        c = F.translate(F.col(f"`{name}__c`"), DMS_FROM, DMS_TO)
+        cleaned[f"{name}__c"] = F.replace(c, F.lit(DOUBLE_MARK), F.lit(DMS_TO[7]))
+    df = df.withColumns(cleaned)
+    split = "\u0001".join(f"${i}" for i in range(1, 7))
+    df = df.withColumns(
+        {
+            f"{name}__g": F.when(
+                F.col(f"`{name}__c`").rlike(DMS_TEXT),
+                F.split(F.regexp_replace(F.col(f"`{name}__c`"), DMS_TEXT, split), "\u0001"),
+            )
+            for name in sources
+        }
     )
+    out = {}
+    for name in sources:
+        g = [F.get(F.col(f"`{name}__g`"), F.lit(i)) for i in range(6)]
+        deg = _decimal(g[2])
+        minute, second = F.coalesce(_decimal(g[3]), F.lit(0.0)), F.coalesce(_decimal(g[4]), F.lit(0.0))
+        hemi = F.when(g[0] != "", g[0]).otherwise(g[5])
+        south_west = hemi.isin("S", "W", "O")
+        bad = (
+            ((g[0] != "") & (g[5] != "") & (g[0] != g[5])) | (minute >= 60) | (second >= 60)
+            | (((g[3] != "") | (g[4] != "")) & (deg != F.floor(deg)))
+            | ((g[1] == "-") & (hemi != "") & ~south_west)
+        )
+        parsed = F.struct(
+            (deg + minute / 60 + second / 3600).alias("size"), ((g[1] == "-") | south_west).alias("negative"), hemi.alias("hemi")
+        )
+        out[name] = F.when(F.col(f"`{name}__g`").isNotNull() & ~bad, parsed)
+    return df.withColumns(out).drop(*[f"{n}__c" for n in sources], *[f"{n}__g" for n in sources])
+
 
-    def part(k: int) -> Column:
-        return F.regexp_extract(clean, DMS_TEXT, k)
-
-    first, last = part(1), part(6)
-    hemi = F.when(first != "", first).otherwise(last)
-    minute_text, second_text = part(4), part(5)
-    deg = _decimal(part(3))
-    minute = F.coalesce(_decimal(minute_text), F.lit(0.0))
-    second = F.coalesce(_decimal(second_text), F.lit(0.0))
-    minus = part(2) == "-"
-    south_west = hemi.isin("S", "W", "O")
-    allowed = ["N", "S"] if axis == "lat" else ["E", "W", "O", "L"]
-    limit = 90 if axis == "lat" else 180
-    size = deg + minute / 60 + second / 3600
-    bad = (
-        ((first != "") & (last != "") & (first != last))
-        | ((hemi != "") & ~hemi.isin(*allowed))
-        | (minute >= 60)
-        | (second >= 60)
-        | (((minute_text != "") | (second_text != "")) & (deg != F.floor(deg)))
-        | (minus & (hemi != "") & ~south_west)
-        | (size > limit)
+def _axis_degrees(parsed: Column, axis: str) -> Column:
+    """Signed degrees, 6 decimals, when the hemisphere letter and the size fit the axis."""
+    allowed = ["", "N", "S"] if axis == "lat" else ["", "E", "W", "O", "L"]
+    fits = parsed["hemi"].isin(*allowed) & (parsed["size"] <= (90 if axis == "lat" else 180))
+    return F.when(fits, F.round(F.when(parsed["negative"], -parsed["size"]).otherwise(parsed["size"]), 6))
+
+
+def with_degrees(df: DataFrame, columns: dict[str, str], suffix: str = "_deg") -> DataFrame:
+    """Add `<column><suffix>`: degrees from DMS, hemisphere or Unicode-minus text (`{column: axis}`)."""
+    keep = df.columns
+    staged = _stage_degrees(df, {f"__{c}_dms": F.col(f"`{c}`") for c in columns})
+    return staged.select(
+        *[F.col(f"`{c}`") for c in keep], *[_axis_degrees(F.col(f"`__{c}_dms`"), a).alias(c + suffix) for c, a in columns.items()]
     )
-    signed = F.when(minus | south_west, -size).otherwise(size)
-    return F.when(marked & clean.rlike(DMS_TEXT) & ~bad, F.round(signed, 6))
 
 
 _PAIR_MARKS = "[NSEWOL°º'\"′’´`″”]"
 
 
-def _pair_value(part: Column, axis: str) -> Column:
-    """One half of a pair: marked text, or a plain number that shows decimals."""
+def _plain_half(part: Column, axis: str) -> Column:
+    """A plain number that shows decimals."""
     bare = F.regexp_replace(part, r"\s+", "")
-    num = F.regexp_replace(bare, "^([^,]*),", "$1.").try_cast("double")
-    limit = 90 if axis == "lat" else 180
-    plain = F.when(bare.rlike(r"[.,]\d") & (F.abs(num) <= limit), num)
-    return F.when(part.rlike(_PAIR_MARKS), coordinate_text(part, axis)).otherwise(plain)
+    num = F.replace(bare, F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(bare.rlike(r"[.,]\d") & (F.abs(num) <= (90 if axis == "lat" else 180)), num)
 
 
 def with_coordinate_pairs(df: DataFrame, columns: list[str], suffix: str = "_pair") -> DataFrame:
     """Add `<column><suffix>`: struct(lat, lon) of a cell that holds both axes, NULL when it does not.
 
-    Staged like the date parser, so each half is read once."""
+    Staged like the date parser: the cell and its two halves are each read once."""
     keep = df.columns
-    stage = df.withColumns(
-        {f"__{c}_t": F.upper(F.regexp_replace(text(f"`{c}`"), "[−–—]", "-")) for c in columns}
-    )
-    split = {}
-    for c in columns:
-        t = F.col(f"`__{c}_t`")
-        hit = t.rlike(PAIR_TEXT)
-        split |= {
-            f"__{c}_p{k}": F.when(hit, strip(F.regexp_extract(t, PAIR_TEXT, k))) for k in (1, 2)
-        }
-        split[f"__{c}_s"] = F.when(hit & t.rlike(_PAIR_MARKS), t)
-    stage = stage.withColumns(split)
+    stage = df.withColumns({f"__{c}_t": F.upper(F.translate(text(f"`{c}`"), "−–—", "---")) for c in columns})
     stage = stage.withColumns(
-        {
-            f"__{c}_one": coordinate_text(f"`__{c}_s`", "lat").isNotNull()
-            | coordinate_text(f"`__{c}_s`", "lon").isNotNull()
-            for c in columns
-        }
+        {f"__{c}_h": F.when(F.col(f"`__{c}_t`").rlike(PAIR_TEXT), F.split(
+            F.regexp_replace(F.col(f"`__{c}_t`"), PAIR_TEXT, "$1\u0001$2"), "\u0001")) for c in columns}
     )
+    halves = {f"__{c}_p{k}": strip(F.get(F.col(f"`__{c}_h`"), F.lit(k - 1))) for c in columns for k in (1, 2)}
+    stage = stage.withColumns(halves)
+    texts = {f"__{c}_d{k}": F.col(f"`__{c}_p{k}`") for c in columns for k in (1, 2)}
+    texts |= {f"__{c}_d0": F.when(F.col(f"`__{c}_h`").isNotNull(), F.col(f"`__{c}_t`")) for c in columns}
+    stage = _stage_degrees(stage, texts)
+    marks = {f"__{c}_m{k}": F.col(f"`__{c}_p{k}`").rlike(_PAIR_MARKS) for c in columns for k in (1, 2)}
+    letters = {}
+    for c in columns:
+        for k in (1, 2):
+            p = F.col(f"`__{c}_p{k}`")
+            ns, ew = p.rlike("[NS]"), p.rlike("[EWOL]")
+            letters[f"__{c}_a{k}"] = F.when(ns & ew, "bad").when(ns, "lat").when(ew, "lon").otherwise("")
+    stage = stage.withColumns(marks | letters)
 
-    def letter(p: Column) -> Column:
-        ns, ew = p.rlike("[NS]"), p.rlike("[EWOL]")
-        return F.when(ns & ew, "bad").when(ns, "lat").when(ew, "lon").otherwise("")
+    def half(c: str, k: int, axis: str) -> Column:
+        return F.when(F.col(f"`__{c}_m{k}`"), _axis_degrees(F.col(f"`__{c}_d{k}`"), axis)).otherwise(
+            _plain_half(F.col(f"`__{c}_p{k}`"), axis))
 
     stage = stage.withColumns(
-        {f"__{c}_a{k}": letter(F.col(f"`__{c}_p{k}`")) for c in columns for k in (1, 2)}
-        | {f"__{c}_w": F.abs(_pair_value(F.col(f"`__{c}_p1`"), "lon")) > 90 for c in columns}
+        {f"__{c}_v{k}{axis}": half(c, k, axis) for c in columns for k in (1, 2) for axis in ("lat", "lon")}
     )
-    halves = {}
+    out = []
     for c in columns:
         a1, a2 = F.col(f"`__{c}_a1`"), F.col(f"`__{c}_a2`")
-        p1, p2 = F.col(f"`__{c}_p1`"), F.col(f"`__{c}_p2`")
-        usable = ~F.col(f"`__{c}_one`") & (a1 != "bad") & (a2 != "bad") & ((a1 == "") | (a1 != a2))
-        swap = F.coalesce(F.col(f"`__{c}_w`"), F.lit(False))
+        whole = F.col(f"`__{c}_d0`")
+        single = _axis_degrees(whole, "lat").isNotNull() | _axis_degrees(whole, "lon").isNotNull()
+        usable = ~single & (a1 != "bad") & (a2 != "bad") & ((a1 == "") | (a1 != a2))
+        swap = F.coalesce(F.abs(F.col(f"`__{c}_v1lon`")) > 90, F.lit(False))
         lat_first = F.when((a1 == "") & (a2 == ""), ~swap).otherwise((a1 == "lat") | (a2 == "lon"))
-        halves[f"__{c}_qlat"] = F.when(usable, F.when(lat_first, p1).otherwise(p2))
-        halves[f"__{c}_qlon"] = F.when(usable, F.when(lat_first, p2).otherwise(p1))
-    stage = stage.withColumns(halves)
-    stage = stage.withColumns(
-        {f"__{c}_v{axis}": _pair_value(F.col(f"`__{c}_q{axis}`"), axis) for c in columns for axis in ("lat", "lon")}
-    )
-    out = []
-    for c in columns:
-        lat, lon = F.col(f"`__{c}_vlat`"), F.col(f"`__{c}_vlon`")
+        lat = F.when(lat_first, F.col(f"`__{c}_v1lat`")).otherwise(F.col(f"`__{c}_v2lat`"))
+        lon = F.when(lat_first, F.col(f"`__{c}_v2lon`")).otherwise(F.col(f"`__{c}_v1lon`"))
         pair = F.struct(lat.alias("lat"), lon.alias("lon"))
-        out.append(F.when(lat.isNotNull() & lon.isNotNull(), pair).alias(c + suffix))
-    return stage.select(*[F.col(f"`{c}`") for c in keep], *out)
+        out.append(F.when(usable & lat.isNotNull() & lon.isNotNull(), pair).alias(c + suffix))
+    return fence(stage.select(*[F.col(f"`{c}`") for c in keep], *out), [c + suffix for c in columns])
 
 
 def convert_coordinates(df: DataFrame, columns: dict[str, str], pair_column: bool = False) -> DataFrame:
@@ -175,7 +188,7 @@ def convert_coordinates(df: DataFrame, columns: dict[str, str], pair_column: boo
     plain numbers stay. In a pair column a lone value cannot tell its axis, so it is blanked."""
     names = list(columns)
     stage = with_coordinate_pairs(df, names, "__pair")
-    stage = stage.withColumns({f"{c}__own": coordinate_text(f"`{c}`", axis) for c, axis in columns.items()})
+    stage = with_degrees(stage, columns, "__own")
 
     def cell(c: str, axis: str) -> Column:
         v, own = F.col(f"`{c}`"), F.col(f"`{c}__own`")

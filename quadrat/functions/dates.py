@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions.fence import fence
 from quadrat.functions.text import as_col, is_blank, lookup, match_form, strip, text
 
 DATE_TERMS = ("eventDate", "dateIdentified", "modified")
@@ -69,14 +70,6 @@ def _int(value: Column) -> Column:
     return value.try_cast("int")
 
 
-def iso_of(year: Column, month: Column, day: Column) -> Column:
-    """yyyy-MM-dd when the day exists, else NULL."""
-    joined = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string"))
-    return F.when(
-        year.isNotNull() & month.isNotNull() & day.isNotNull(), joined.try_cast("date").cast("string")
-    )
-
-
 def clock_24h(value: Column | str) -> Column:
     """`<date> 08:30 PM` to `<date> 20:30`; other text is unchanged."""
     v = as_col(value)
@@ -87,16 +80,17 @@ def clock_24h(value: Column | str) -> Column:
         F.regexp_extract(v, CLOCK_12H, 1), F.lit(" "),
         F.lpad(hour24.cast("string"), 2, "0"), F.regexp_extract(v, CLOCK_12H, 3),
     )
-    return F.when(v.rlike(r"[Mm]\.?$") & v.rlike(CLOCK_12H) & hour.between(1, 12), rebuilt).otherwise(v)
-
-
-def has_time(value: Column) -> Column:
-    return value.contains(":") & value.rlike(TIME_SUFFIX)
+    # Nested conditions: Catalyst would otherwise hoist the costly pattern out of the conjunction.
+    return F.when(
+        v.rlike(r"[Mm]\.?$"), F.when(v.rlike(CLOCK_12H), F.when(hour.between(1, 12), rebuilt).otherwise(v)).otherwise(v)
+    ).otherwise(v)
 
 
 def date_part(value: Column | str) -> Column:
     v = as_col(value)
-    return F.when(has_time(v), strip(F.regexp_extract(v, TIME_SUFFIX, 1))).otherwise(v)
+    return F.when(
+        v.contains(":"), F.when(v.rlike(TIME_SUFFIX), strip(F.regexp_extract(v, TIME_SUFFIX, 1))).otherwise(v)
+    ).otherwise(v)
 
 
 def time_part(value: Column | str) -> Column:
@@ -104,7 +98,7 @@ def time_part(value: Column | str) -> Column:
     v = as_col(value)
     clock = F.regexp_replace(F.regexp_extract(v, TIME_SUFFIX, 2), "^([0-9]):", "0$1:")
     zone = F.regexp_replace(F.regexp_extract(v, TIME_SUFFIX, 3), "^(UTC|GMT)$", "Z")
-    return F.when(has_time(v), F.concat(clock, zone)).otherwise(F.lit(""))
+    return F.when(v.contains(":"), F.when(v.rlike(TIME_SUFFIX), F.concat(clock, zone)).otherwise("")).otherwise("")
 
 
 def date_text_without_time(value: Column | str) -> Column:
@@ -116,59 +110,9 @@ def date_text_without_time(value: Column | str) -> Column:
     return F.array_join(ends, "/")
 
 
-def dmy_a(value: Column) -> Column:
-    return _int(F.regexp_extract(value, DMY, 1))
-
-
-def dmy_b(value: Column) -> Column:
-    return _int(F.regexp_extract(value, DMY, 3))
-
-
-def dmy_year(value: Column, as_of_year: int) -> Column:
-    """Four-digit year; two digits only after `/`, split at the year of `as_of`."""
-    raw = F.regexp_extract(value, DMY, 4)
-    number = _int(raw)
-    pivot = as_of_year % 100
-    return F.when(F.length(raw) == 4, number).when(
-        (F.length(raw) == 2) & (F.regexp_extract(value, DMY, 2) == "/"),
-        F.when(number <= pivot, number + 2000).otherwise(number + 1900),
-    )
-
-
-def _dmy_struct(value: Column, as_of_year: int) -> Column:
-    hit = value.rlike(DMY)
-    return F.struct(
-        F.when(hit, dmy_a(value)).alias("a"),
-        F.when(hit, dmy_b(value)).alias("b"),
-        F.when(hit, dmy_year(value, as_of_year)).alias("y"),
-    )
-
-
-def _swappable(field: Column) -> Column:
-    """Day and month could trade places."""
-    a, b = field["a"], field["b"]
-    return F.coalesce((a <= 12) & (b <= 12) & (a != b) & field["y"].isNotNull(), F.lit(False))
-
-
-def day_vote(field: Column) -> Column:
-    """1 for a day-first proof, -1 for a month-first proof, else 0."""
-    a, b, y = field["a"], field["b"], field["y"]
-    return (
-        F.when((a > 12) & iso_of(y, b, a).isNotNull(), 1)
-        .when((b > 12) & iso_of(y, a, b).isNotNull(), -1)
-        .otherwise(0)
-    )
-
-
-def _dmy_iso(field: Column, day_first: Column) -> Column:
-    a, b, y = field["a"], field["b"], field["y"]
-    order = (
-        F.when((a > 12) & (b <= 12), F.lit(True))
-        .when((b > 12) & (a <= 12), F.lit(False))
-        .when(a == b, F.lit(True))
-        .when((a <= 12) & (b <= 12), day_first)
-    )
-    return F.when(order, iso_of(y, b, a)).when(~order, iso_of(y, a, b))
+# Forms a date text can have; the first that matches is the only one that can.
+DMY_KIND, YMD_KIND, MONTH_YEAR_KIND, YEAR_MONTH_KIND, COMPACT_KIND, DAY_NAME_KIND, NAME_YEAR_KIND, RANGE_KIND = range(1, 9)
+FORMS = (DMY, YMD, MONTH_YEAR, YEAR_MONTH, r"^\d{8}$", DAY_NAME_YEAR, NAME_YEAR, YEAR_RANGE)
 
 
 def month_token(value: Column) -> Column:
@@ -180,83 +124,92 @@ def _name_month(token: Column) -> Column:
     return F.coalesce(lookup(ROMAN_MONTHS, F.lower(token)), month_token(token))
 
 
-def _single_iso(value: Column, field: Column, day_first: Column, as_of_year: int) -> Column:
-    """One date text (no interval, no time) to ISO; forms are tried in a fixed order."""
-    my_month = _int(F.regexp_extract(value, MONTH_YEAR, 1))
-    my_year = F.regexp_extract(value, MONTH_YEAR, 2)
-    ym_year = F.regexp_extract(value, YEAR_MONTH, 1)
-    ym_month = _int(F.regexp_extract(value, YEAR_MONTH, 2))
+def _real_day(year: Column, month: Column, day: Column) -> Column:
+    return F.coalesce(year.isNotNull() & (day >= 1) & (day <= days_in_month(year, month)), F.lit(False))
 
-    def year_month(year: Column, month: Column) -> Column:
-        return F.when(month.between(1, 12), F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
 
-    compact_year = _int(F.substring(value, 1, 4))
-    compact = F.when(
-        compact_year.between(MIN_YEAR, as_of_year),
-        iso_of(compact_year, _int(F.substring(value, 5, 2)), _int(F.substring(value, 7, 2))),
-    )
-    day_name = iso_of(
-        _int(F.regexp_extract(value, DAY_NAME_YEAR, 3)),
-        _int(_name_month(F.regexp_extract(value, DAY_NAME_YEAR, 2))),
-        _int(F.regexp_extract(value, DAY_NAME_YEAR, 1)),
-    )
-    name_year = F.concat(
-        F.regexp_extract(value, NAME_YEAR, 2), F.lit("-"), _name_month(F.regexp_extract(value, NAME_YEAR, 1))
-    )
-    range_start = F.regexp_extract(value, YEAR_RANGE, 1)
-    range_end = F.regexp_extract(value, YEAR_RANGE, 2)
-    return F.coalesce(
-        F.when(field["a"].isNotNull(), _dmy_iso(field, day_first)),
-        F.when(value.rlike(YMD), F.translate(value, "/.", "--").try_cast("date").cast("string")),
-        F.when(value.rlike(MONTH_YEAR), year_month(my_year, my_month)),
-        F.when(value.rlike(YEAR_MONTH), year_month(ym_year, ym_month)),
-        F.when(value.rlike(r"^\d{8}$"), compact),
-        F.when(
-            value.rlike(r"\p{L}"),
-            F.when(value.rlike(DAY_NAME_YEAR), day_name).when(value.rlike(NAME_YEAR), name_year),
-        ),
-        F.when(
-            value.rlike(YEAR_RANGE) & (range_start < range_end),
-            F.concat(range_start, F.lit("/"), range_end),
-        ),
+def _kind(value: Column) -> Column:
+    kind = F.when(value.isNull() | (value == ""), 0)
+    for number, pattern in enumerate(FORMS, start=1):
+        kind = kind.when(value.rlike(pattern), number)
+    return kind.otherwise(0)
+
+
+def _fields(value: Column, kind: Column, parts: Column, as_of_year: int) -> dict[str, Column]:
+    """a, b, y of a date text: first and second field of d/m/y, else day and month."""
+    w0, w1, w2 = (F.get(parts, F.lit(i)) for i in range(3))
+    pivot = as_of_year % 100
+    short = _int(w2)
+    dmy_year = F.when(F.length(w2) == 4, short).when(
+        value.contains("/"), F.when(short <= pivot, short + 2000).otherwise(short + 1900)
     )
 
+    def cut(at: int, size: int) -> Column:
+        return _int(F.substring(value, at, size))
+
+    named = F.when(kind == DAY_NAME_KIND, w1).when(kind == NAME_YEAR_KIND, w0)
+    return {
+        "a": F.when(kind.isin(DMY_KIND, DAY_NAME_KIND), _int(w0)).when(kind == YMD_KIND, _int(w2)).when(kind == COMPACT_KIND, cut(7, 2)),
+        "b": F.when(kind.isin(DMY_KIND, YMD_KIND, YEAR_MONTH_KIND), _int(w1)).when(kind == MONTH_YEAR_KIND, _int(w0))
+        .when(kind == COMPACT_KIND, cut(5, 2)).when(kind >= DAY_NAME_KIND, _int(_name_month(named))),
+        "y": F.when(kind == DMY_KIND, dmy_year).when(kind.isin(YMD_KIND, YEAR_MONTH_KIND), _int(w0))
+        .when(kind.isin(MONTH_YEAR_KIND, NAME_YEAR_KIND), _int(w1)).when(kind == DAY_NAME_KIND, _int(w2)).when(kind == COMPACT_KIND, cut(1, 4)),
+    }
+
 
 def _prepare(df: DataFrame, columns: Iterable[str], as_of_year: int) -> DataFrame:
-    """Stage the clock, the interval ends and the numeric fields of each date column."""
+    """Stage the clock, the interval ends, the form and the fields of each date column."""
     columns = list(columns)
-    df = df.withColumns({f"__{c}_x": clock_24h(text(c)) for c in columns})
+    df = df.withColumns({f"__{c}_x": clock_24h(text(f"`{c}`")) for c in columns})
     df = df.withColumns(
-        {f"__{c}_t": time_part(f"__{c}_x") for c in columns}
-        | {f"__{c}_d": date_part(f"__{c}_x") for c in columns}
+        {f"__{c}_t": time_part(f"`__{c}_x`") for c in columns} | {f"__{c}_d": date_part(f"`__{c}_x`") for c in columns}
     )
     df = df.withColumns(
-        {f"__{c}_i": (F.col(f"__{c}_t") == "") & F.col(f"__{c}_d").rlike(INTERVAL) for c in columns}
+        {
+            f"__{c}_i": F.when(F.col(f"`__{c}_d`").contains(" "), (F.col(f"`__{c}_t`") == "") & F.col(f"`__{c}_d`").rlike(INTERVAL))
+            .otherwise(F.lit(False))
+            for c in columns
+        }
     )
     staged = {}
     for c in columns:
-        whole, interval = F.col(f"__{c}_d"), F.col(f"__{c}_i")
+        whole, interval = F.col(f"`__{c}_d`"), F.col(f"`__{c}_i`")
         staged[f"__{c}_r1"] = F.when(interval, F.regexp_extract(whole, INTERVAL, 1)).otherwise(whole)
         staged[f"__{c}_r2"] = F.when(interval, F.regexp_extract(whole, INTERVAL, 3))
     df = df.withColumns(staged)
     staged = {}
     for c in columns:
         for k in "12":
-            raw = F.col(f"__{c}_r{k}")
-            staged[f"__{c}_p{k}"] = F.when(F.col(f"__{c}_i"), date_part(raw)).otherwise(raw)
-            staged[f"__{c}_u{k}"] = F.when(F.col(f"__{c}_i"), time_part(raw)).otherwise(F.col(f"__{c}_t"))
+            raw, interval = F.col(f"`__{c}_r{k}`"), F.col(f"`__{c}_i`")
+            staged[f"__{c}_p{k}"] = F.when(interval, date_part(raw)).otherwise(raw)
+            staged[f"__{c}_u{k}"] = F.when(interval, time_part(raw)).otherwise(F.col(f"`__{c}_t`"))
     df = df.withColumns(staged)
-    return df.withColumns(
-        {f"__{c}_f{k}": _dmy_struct(F.col(f"__{c}_p{k}"), as_of_year) for c in columns for k in "12"}
+    ends = [(c, k) for c in columns for k in "12"]
+    df = df.withColumns({f"__{c}_k{k}": _kind(F.col(f"`__{c}_p{k}`")) for c, k in ends})
+    df = df.withColumns(
+        {f"__{c}_w{k}": F.when(F.col(f"`__{c}_k{k}`") > 0, F.split(F.col(f"`__{c}_p{k}`"), NAME_SEP)) for c, k in ends}
     )
+    fields = {}
+    for c, k in ends:
+        found = _fields(F.col(f"`__{c}_p{k}`"), F.col(f"`__{c}_k{k}`"), F.col(f"`__{c}_w{k}`"), as_of_year)
+        fields |= {f"__{c}_{name}{k}": value for name, value in found.items()}
+    return df.withColumns(fields)
+
+
+def _end(c: str, k: str) -> dict[str, Column]:
+    return {name: F.col(f"`__{c}_{name}{k}`") for name in ("a", "b", "y", "k", "u", "w", "p")}
 
 
 def _votes(c: str) -> Column:
+    """Day-first proofs count up, month-first proofs count down."""
     def vote(k: str) -> Column:
-        counts = ~F.col(f"__{c}_i") | (F.col(f"__{c}_u{k}") == "")
-        return F.when(counts, day_vote(F.col(f"__{c}_f{k}"))).otherwise(0)
+        e = _end(c, k)
+        counts = (e["k"] == DMY_KIND) & (~F.col(f"`__{c}_i`") | (e["u"] == ""))
+        day = (e["a"] > 12) & _real_day(e["y"], e["b"], e["a"])
+        month = (e["b"] > 12) & _real_day(e["y"], e["a"], e["b"])
+        return F.when(counts & day, 1).when(counts & month, -1).otherwise(0)
 
-    return vote("1") + F.when(F.col(f"__{c}_i"), vote("2")).otherwise(0)
+    return vote("1") + F.when(F.col(f"`__{c}_i`"), vote("2")).otherwise(0)
 
 
 def day_first_votes(
@@ -264,9 +217,8 @@ def day_first_votes(
 ) -> DataFrame:
     """One row with, per date column, TRUE (day first), FALSE (month first) or NULL (tie or no proof)."""
     columns = [c for c in columns if c in df.columns]
-    staged = _prepare(df.select(*columns), columns, as_of_year or this_year())
-    sums = [F.coalesce(F.sum(_votes(c)), F.lit(0)).alias(c) for c in columns]
-    totals = staged.agg(*sums)
+    staged = _prepare(df.select(*[F.col(f"`{c}`") for c in columns]), columns, as_of_year or this_year())
+    totals = staged.agg(*[F.coalesce(F.sum(_votes(c)), F.lit(0)).alias(c) for c in columns])
     return totals.select(*[F.when(F.col(c) > 0, True).when(F.col(c) < 0, False).alias(c) for c in columns])
 
 
@@ -279,6 +231,35 @@ def _day_first_columns(
     return {c: votes.select(c).scalar() for c in columns}
 
 
+def _order(e: dict[str, Column], day_first: Column) -> Column:
+    a, b = e["a"], e["b"]
+    return (
+        F.when(e["k"] != DMY_KIND, F.lit(True))
+        .when((a > 12) & (b <= 12), F.lit(True))
+        .when((b > 12) & (a <= 12), F.lit(False))
+        .when(a == b, F.lit(True))
+        .when((a <= 12) & (b <= 12), day_first)
+    )
+
+
+def _iso(e: dict[str, Column], order: Column, as_of_year: int) -> Column:
+    """ISO text of one end once its field order is known."""
+    kind = e["k"]
+    day = F.when(order, e["a"]).when(~order, e["b"])
+    month = F.when(order, e["b"]).when(~order, e["a"])
+    year_text = F.lpad(e["y"].cast("string"), 4, "0")
+    month_text = F.lpad(month.cast("string"), 2, "0")
+    whole = kind.isin(DMY_KIND, YMD_KIND, DAY_NAME_KIND) | (
+        (kind == COMPACT_KIND) & e["y"].between(MIN_YEAR, as_of_year)
+    )
+    span = (kind == RANGE_KIND) & (F.substring(e["p"], 1, 4) < F.substring(e["p"], -4, 4))
+    return (
+        F.when(whole & _real_day(e["y"], month, day), F.concat_ws("-", year_text, month_text, F.lpad(day.cast("string"), 2, "0")))
+        .when(kind.isin(MONTH_YEAR_KIND, YEAR_MONTH_KIND, NAME_YEAR_KIND) & month.between(1, 12), F.concat_ws("-", year_text, month_text))
+        .when(span, F.concat(F.substring(e["p"], 1, 4), F.lit("/"), F.substring(e["p"], -4, 4)))
+    )
+
+
 def dates_to_iso(
     df: DataFrame,
     columns: Iterable[str] = DATE_TERMS,
@@ -295,38 +276,41 @@ def dates_to_iso(
     end of an interval.
     """
     columns = [c for c in columns if c in df.columns]
+    if not columns:
+        return df
     year = as_of_year or this_year()
     order = _day_first_columns(df, columns, day_first, year)
     keep = df.columns
     staged = _prepare(df, columns, year)
-    staged = staged.withColumns(
-        {
-            f"__{c}_s{k}": _single_iso(F.col(f"__{c}_p{k}"), F.col(f"__{c}_f{k}"), order[c], year)
-            for c in columns
-            for k in "12"
-        }
-    )
+    ends = [(c, k) for c in columns for k in "12"]
+    staged = staged.withColumns({f"__{c}_o{k}": _order(_end(c, k), order[c]) for c, k in ends})
+    staged = staged.withColumns({f"__{c}_s{k}": _iso(_end(c, k), F.col(f"`__{c}_o{k}`"), year) for c, k in ends})
 
     def end(c: str, k: str) -> Column:
-        iso, clock = F.col(f"__{c}_s{k}"), F.col(f"__{c}_u{k}")
+        iso, clock = F.col(f"`__{c}_s{k}`"), F.col(f"`__{c}_u{k}`")
         return F.when(clock == "", iso).otherwise(F.concat(iso, F.lit("T"), clock))
 
     out = {
-        c + suffix: F.when(F.col(f"__{c}_i"), F.concat(end(c, "1"), F.lit("/"), end(c, "2"))).otherwise(
-            end(c, "1")
-        )
+        c + suffix: F.when(F.col(f"`__{c}_i`"), F.concat(end(c, "1"), F.lit("/"), end(c, "2"))).otherwise(end(c, "1"))
         for c in columns
     }
     if ambiguous_suffix:
         out |= {c + ambiguous_suffix: _ambiguous(c) for c in columns}
-    return staged.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in out.items()])
+    parsed = staged.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in out.items()])
+    return fence(parsed, list(out))
+
+
+def _swappable(e: dict[str, Column]) -> Column:
+    a, b = e["a"], e["b"]
+    fits = (e["k"] == DMY_KIND) & (e["u"] == "") & (a <= 12) & (b <= 12) & (a != b) & e["y"].isNotNull()
+    return F.coalesce(fits, F.lit(False))
 
 
 def _ambiguous(c: str) -> Column:
-    swap = {k: (F.col(f"__{c}_u{k}") == "") & _swappable(F.col(f"__{c}_f{k}")) for k in "12"}
-    like = {k: swap[k] | F.col(f"__{c}_s{k}").isNotNull() for k in "12"}
+    swap = {k: _swappable(_end(c, k)) for k in "12"}
+    like = {k: swap[k] | F.col(f"`__{c}_s{k}`").isNotNull() for k in "12"}
     interval = (swap["1"] | swap["2"]) & like["1"] & like["2"]
-    return F.coalesce(F.when(F.col(f"__{c}_i"), interval).otherwise(swap["1"]), F.lit(False))
+    return F.coalesce(F.when(F.col(f"`__{c}_i`"), interval).otherwise(swap["1"]), F.lit(False))
 
 
 def fix_dates(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import coords as C
+from quadrat.functions.fence import fence
 from quadrat.functions.text import lookup, text
 from quadrat.operators.countries import with_country_codes
 from quadrat.operators.spatial import near_land, near_place
@@ -106,9 +107,10 @@ def validate_coordinates(
         .otherwise("ok")
     )
     out = base.withColumn("diagnostic", first).drop("__clean")
-    return out.withColumn("family", lookup(FAMILIES, F.col("diagnostic"))).withColumn(
+    done = out.withColumn("family", lookup(FAMILIES, F.col("diagnostic"))).withColumn(
         "valid", F.col("diagnostic").isin("ok", "sea_unchecked")
     )
+    return fence(done, ["diagnostic", "family", "valid", *[c for c in done.columns if c.startswith("flag_")]])
 
 
 def coordinate_issues(df: DataFrame, lat: str, lon: str, row_id: str = "row_id") -> DataFrame:

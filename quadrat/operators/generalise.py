@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import coords as C
 from quadrat.functions import numbers as M
+from quadrat.functions.fence import fence
 from quadrat.functions.redaction import (
     has_point_text, has_projected_point, might_hold_point, point_tokens, redact_copies, write_back,
 )
@@ -189,7 +190,8 @@ def generalisation_plan(
     )
     radius = C.cell_radius_m(F.col("p_eff_grid"), F.col("p_pub_lon"), F.col("p_pub_lat"))
     base = base.withColumn("p_metres", F.ceil(radius + F.coalesce("p_prior", F.lit(0.0))))
-    return base.drop("__sensitive", "__tier", "__metres", "__place", "__ok", "__snap", "__before", "__sens", "__masked", "__base")
+    done = base.drop("__sensitive", "__tier", "__metres", "__place", "__ok", "__snap", "__before", "__sens", "__masked", "__base")
+    return fence(done, plan_columns(done))
 
 
 def plan_columns(plan: DataFrame) -> list[str]:

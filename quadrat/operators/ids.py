@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions.fence import fence
 from quadrat.functions.identifiers import content_text, persistent_id
 from quadrat.functions.text import is_blank, text
 from quadrat.operators.numbering import HOT_ROWS, number_within, repeated_flag
@@ -21,7 +22,8 @@ def generate_ids(
 
     `reserved` (column `id`) holds identifiers that are taken. A row that meets one takes the next
     number after its group; each round only handles the rows that still clash."""
-    content = df.select(row_id, content_text(columns).alias("__text")).withColumn("__key", F.sha2("__text", 256))
+    content = fence(df.select(row_id, content_text(columns).alias("__text")), ["__text"])
+    content = content.withColumn("__key", F.coalesce(F.sha2("__text", 256), F.lit("")))
     numbered = number_within(content, ["__key"], "__number", row_id, hot_rows)
     fresh = numbered.withColumn("occurrenceID", persistent_id(F.col("__text"), F.col("__number")))
     if reserved is None:

@@ -67,7 +67,7 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def content_hash(columns: list[str]) -> Column:
     """Row digest in which NULL, '' and shifted cells all differ."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0001")) for c in columns]
-    return F.sha2(F.concat_ws("\u001f", *cells), 256)
+    return F.coalesce(F.sha2(F.concat_ws("\u001f", *cells), 256), F.lit(""))
 
 
 def exact_copies(df: DataFrame, columns: list[str] | None = None, row_id: str = "row_id") -> DataFrame:

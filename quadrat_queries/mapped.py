@@ -161,7 +161,7 @@ def measurements_unpivoted(spark, sf):
 
 @query(
     "measurement_columns_suggested",
-    with_occ("SELECT 'area_ha' AS \"column\", 'ha' AS unit, count(*) > 0 AS used FROM occ"),
+    with_occ("SELECT 'area_ha' AS \"column\", 'ha' AS unit, count(*) > 0 AS used FROM occ UNION ALL SELECT 'incerteza_m', 'm', true"),
 )
 def measurement_columns_suggested(spark, sf):
     found = M.suggest_measurements(occ(spark, sf), ["row_id"])

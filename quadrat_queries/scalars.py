@@ -172,7 +172,7 @@ def coordinate_dms_text(spark, sf):
         F.floor(v).cast("string"), F.lit("° "), minutes.cast("string"), F.lit("' "), hemi
     )
     staged = occ(spark, sf).select("row_id", dms.alias("dms"))
-    return staged.select("row_id", "dms", C.coordinate_text("dms", "lat").alias("degrees"))
+    return C.with_degrees(staged, {"dms": "lat"}).select("row_id", "dms", F.col("dms_deg").alias("degrees"))
 
 
 @query(

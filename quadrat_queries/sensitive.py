@@ -232,5 +232,5 @@ def protected_point_copies(spark, sf):
 @query("protected_pairs_redacted")
 def protected_pairs_redacted(spark, sf):
     p = plan(spark, sf)
-    texted = mapped(spark, sf).withColumn("note", texted())
-    return G.redact_point_pairs(texted.select("row_id", "decimalLatitude", "decimalLongitude", "note"), G.protected_points(p), ["note"])
+    noted = mapped(spark, sf).withColumn("note", texted())
+    return G.redact_point_pairs(noted.select("row_id", "decimalLatitude", "decimalLongitude", "note"), G.protected_points(p), ["note"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 import sys
 import time
 
@@ -11,7 +12,12 @@ from quadrat_queries.registry import ORACLES, QUERIES
 from tests.compare import connect, mismatch
 
 
+def _late(*_: object) -> None:
+    raise TimeoutError("query took more than 90 seconds")
+
+
 def main() -> int:
+    signal.signal(signal.SIGALRM, _late)
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     wanted = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
@@ -27,6 +33,7 @@ def main() -> int:
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
+        signal.alarm(90)
         try:
             if name in ORACLES:
                 note = mismatch(spark, fn, ORACLES[name], sf_dir, con)
@@ -35,6 +42,8 @@ def main() -> int:
                 note = None if n else "no rows"
         except Exception as error:  # report and go on with the next query
             note = f"{type(error).__name__}: {str(error)[:1500]}"
+        finally:
+            signal.alarm(0)
         bad += note is not None
         mark = "ok  " if note is None else "FAIL"
         print(f"{mark} {time.time() - start:6.2f}s {name}{'' if name in ORACLES else ' (rows only)'}{': ' + note if note else ''}", flush=True)
