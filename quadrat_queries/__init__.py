@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "records", "space", "mapped", "sensitive")
+MODULES = ("scalars", "records", "space", "mapped", "sensitive", "resolve")
 
 
 def load_all() -> None:
