@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import coords as C
@@ -132,30 +132,34 @@ def map_sample(markers: DataFrame, ok_color: str, limit: int = MAP_LIMIT, bounds
 
 
 def map_view(points: DataFrame, trim: float = 0.0) -> DataFrame:
-    """One row: frame of the points with a share trimmed at each edge (exact percentiles of order)."""
+    """One row: frame of the points with a share of them trimmed at each edge, by exact order statistics."""
     shown = points.filter(C.plottable(F.col("lat"), F.col("lon"))).select(
-        F.greatest(F.least("lat", F.lit(85.0)), F.lit(-85.0)).alias("lat"), "lon")
+        F.greatest(F.least("lat", F.lit(85.0)), F.lit(-85.0)).alias("lat"), F.col("lon").alias("lng"))
     n = shown.count() if trim > 0 else 0
     cut = max(1, int(n * trim)) if n >= 20 and trim > 0 else 0
     if not cut:
-        box = shown.agg(F.min("lat").alias("lat1"), F.max("lat").alias("lat2"), F.min("lon").alias("lng1"), F.max("lon").alias("lng2"))
+        box = shown.agg(*[f(a).alias(f"{a}{k}") for a in ("lat", "lng") for k, f in ((1, F.min), (2, F.max))])
     else:
-        edges = {}
-        for axis, name in (("lat", "lat"), ("lon", "lng")):
-            per_value = shown.groupBy(axis).agg(F.count("*").alias("c"))
-            edges[f"{name}1"] = _kth(per_value, axis, cut, True)
-            edges[f"{name}2"] = _kth(per_value, axis, cut, False)
-        box = shown.agg(F.count("*").alias("n")).select(*[v.alias(k) for k, v in edges.items()])
+        edges = {f"{a}{k}": _kth(shown, a, cut, k == 1) for a in ("lat", "lng") for k in (1, 2)}
+        box = shown.agg(*[F.max(F.lit(v)).alias(k) for k, v in edges.items()])
     point = (F.col("lat1") == F.col("lat2")) & (F.col("lng1") == F.col("lng2"))
     return box.withColumn("type", F.when(point, "point").otherwise("bounds"))
 
 
-def _kth(per_value: DataFrame, axis: str, cut: int, low: bool) -> Column:
-    """Scalar: the value left after `cut` values fall off one edge; only the edge itself is sorted."""
-    order = F.asc(axis) if low else F.desc(axis)
-    edge = per_value.orderBy(order).limit(cut + 1)
-    run = edge.withColumn("before", F.expr(f"sum(c) over (order by {axis} {'asc' if low else 'desc'} rows between unbounded preceding and current row)"))
-    pick = F.min(axis) if low else F.max(axis)
-    return run.filter(F.col("before") > cut).agg(pick.alias("v")).scalar()
-
-
+def _kth(values: DataFrame, axis: str, cut: int, low: bool) -> float:
+    """The value left after `cut` values fall off one edge.
+
+    Two histograms over the bounded axis (hundredths, then millionths of a degree) narrow it down, so
+    no task ever sorts more than a few ten thousand counts."""
+    v = F.col(axis) if low else -F.col(axis)
+    rest, before = values.select(v.alias("v")), cut
+    for width in (0.01, 0.000001):
+        bucket = F.floor(F.col("v") / width)
+        counts = rest.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+        total = counts.withColumn("cum", F.sum("n").over(Window.orderBy("b")))
+        hit = total.filter(F.col("cum") > before).orderBy("b").first()
+        before -= hit["cum"] - hit["n"]
+        rest = rest.filter(bucket == hit["b"])
+    exact = rest.groupBy("v").agg(F.count("*").alias("n")).withColumn("cum", F.sum("n").over(Window.orderBy("v")))
+    value = exact.filter(F.col("cum") > before).agg(F.min("v")).first()[0]
+    return value if low else -value
