@@ -15,6 +15,7 @@ from quadrat.functions.text import any_of, is_blank, literal_map, text
 from quadrat.operators.mapping import coordinate_like_header, is_measurement_column, ordered_columns
 from quadrat.operators.spatial import locate
 from quadrat.operators.taxa import resolve_sensitivity
+from quadrat.session import ensure_checkpoint_dir
 
 TIER_GRIDS = {"extreme": 1.0, "high": 0.1, "medium": 0.01, "low": 0.001}
 TIERS = tuple(TIER_GRIDS)
@@ -321,13 +322,16 @@ def find_point_copies(cells: DataFrame, points: DataFrame) -> DataFrame:
     cells: cell_id, text, own_lat, own_lon (a row's own point does not count). points: as from
     `protected_points`. Token and axis values meet in an equi-join on a band number. Fine tokens use
     bands of 0.01 degree, coarse ones whole degrees. Only distinct token values are joined to distinct
-    axis values; each text then joins its latitude hits to its longitude hits through the point table."""
+    axis values; each text then joins its latitude hits to its longitude hits through the point table.
+    Tokens and points are read several times, so both are written to the checkpoint folder first."""
+    ensure_checkpoint_dir(cells.sparkSession)
+    points = points.checkpoint()
     texts = cells.filter(might_hold_point(F.col("text")))
     tokens = texts.select(
         "cell_id", "own_lat", "own_lon", F.explode(point_tokens(F.col("text"))).alias("t")
     ).select("cell_id", "own_lat", "own_lon", "t.*").filter(~F.col("bare"))
     widest = points.agg(F.max("grid").alias("g")).scalar()
-    tokens = tokens.filter(F.col("step") < widest)
+    tokens = tokens.filter(F.col("step") < widest).checkpoint()
     tol = F.col("step") / 2 + 1e-9
     values = tokens.select("value", "step").distinct().withColumn(
         "width", F.when(F.col("step") <= WIDE_STEP, F.lit(BAND)).otherwise(F.lit(1.0))

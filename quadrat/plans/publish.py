@@ -78,6 +78,9 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
     precision), status after masking. The row plan is written once to the checkpoint folder because the
     public table, the private table and the point set all read it."""
     effective = P.apply_payloads(inputs.records, inputs.reviews, inputs.ranks, inputs.corrections, inputs.fills)
+    if effective is not inputs.records:
+        ensure_checkpoint_dir(inputs.records.sparkSession)
+        effective = effective.checkpoint()
     masked, private, points, moved = effective, None, None, None
     if inputs.levels is not None and inputs.threatened is not None:
         decisions = inputs.decisions
@@ -86,6 +89,7 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
         ensure_checkpoint_dir(inputs.records.sparkSession)
         plan = G.generalisation_plan(effective, inputs.levels, inputs.threatened, decisions).checkpoint()
         masked, private = G.mask_locations(plan, row_id, inputs.justification)
+        masked = masked.checkpoint()
         points = G.protected_points(plan)
         moved = plan.filter("p_target OR p_withheld").select(row_id)
     status = conservation_status(
@@ -96,6 +100,7 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
         core = core.join(inputs.dropped.select(row_id), row_id, "left_anti")
         private = None if private is None else private.join(inputs.dropped.select(row_id), row_id, "left_anti")
     if points is not None:
+        core = core.checkpoint()
         keep = {row_id, "occurrenceID", "decimalLatitude", "decimalLongitude", "footprintWKT", "footprintSRS"}
         core = G.redact_point_pairs(core, points, [c for c in core.columns if c not in keep], row_id)
     core, measurements = M.split_measurements(core)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "records", "space", "mapped", "sensitive", "resolve", "sources")
+MODULES = ("scalars", "records", "space", "mapped", "sensitive", "resolve", "sources", "headers")
 
 
 def load_all() -> None:

@@ -162,3 +162,9 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"seq": pa.int64()},
     )
     return base.unionByName(fixed)
+
+
+def levels_for_tests(spark: SparkSession) -> DataFrame:
+    """One tier for every spelling of the listed names."""
+    tiers = {"Panthera onca": "high", "panthera  ONCA": "high", "Puma concolor (Linnaeus, 1771)": "extreme", "Euterpe edulis Mart.": "extreme"}
+    return local_table(spark, {"scientificName": list(tiers), "tier": list(tiers.values())})

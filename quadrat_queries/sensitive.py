@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrat.lookups import local_table
 from quadrat.operators import generalise as G
+from quadrat.session import ensure_checkpoint_dir
 from quadrat_queries.fixtures import (
     CELL, LAT_SQL, LON_SQL, NAMES_CTE, THREATENED_CTE, mapped, polygon_index, threatened, with_mapped,
 )
@@ -220,7 +221,8 @@ def copies_under_review(spark, sf):
 @query("protected_point_copies")
 def protected_point_copies(spark, sf):
     """Texts of other records that spell both axes of a protected point."""
-    p = plan(spark, sf)
+    ensure_checkpoint_dir(spark)
+    p = plan(spark, sf).checkpoint()
     points = G.protected_points(p)
     cells = p.select(
         F.col("row_id").alias("cell_id"), F.concat(F.lit("see "), F.col("decimalLatitude"), F.lit(" "), F.col("decimalLongitude")).alias("text"),
@@ -231,6 +233,7 @@ def protected_point_copies(spark, sf):
 
 @query("protected_pairs_redacted")
 def protected_pairs_redacted(spark, sf):
-    p = plan(spark, sf)
+    ensure_checkpoint_dir(spark)
+    p = plan(spark, sf).checkpoint()
     noted = mapped(spark, sf).withColumn("note", texted())
     return G.redact_point_pairs(noted.select("row_id", "decimalLatitude", "decimalLongitude", "note"), G.protected_points(p), ["note"])
