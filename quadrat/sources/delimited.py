@@ -86,26 +86,26 @@ def is_code_header(name: str) -> bool:
 
 
 def decode_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines read byte for byte (as Latin-1) to text: UTF-8 where valid, else the code page the file's
-    bytes vote for. Adds `encoding`. A NUL byte is an error."""
-    raw = F.encode(F.col(column), "ISO-8859-1")
-    checked = lines.withColumn("__ok", F.is_valid_utf8(raw.cast("string")))
+    """Lines as the text source reads them (raw bytes) to text: UTF-8 where valid, else the code page the
+    file's bytes vote for. Adds `encoding`. A NUL byte is an error."""
+    latin = F.decode(F.col(column).cast("binary"), "ISO-8859-1")
+    checked = lines.withColumn("__ok", F.is_valid_utf8(column)).withColumn("__latin", F.when(~F.col("__ok"), latin))
 
     def hits(codes: tuple[int, ...]) -> Column:
         chars = "".join(chr(c) for c in codes)
-        return F.sum(F.when(~F.col("__ok"), F.length(column) - F.length(F.translate(F.col(column), chars, "")))).alias("n")
+        return F.sum(F.length("__latin") - F.length(F.translate(F.col("__latin"), chars, ""))).alias("n")
 
     dos, windows = checked.agg(hits(DOS_BYTES)).scalar(), checked.agg(hits(WINDOWS_BYTES)).scalar()
     is_dos = F.coalesce(dos > windows, F.lit(False))
     text = (
         F.when(F.col(column).contains("\u0000"), F.raise_error(F.lit("the file has NUL bytes; save it as UTF-8 text")))
-        .when(F.col("__ok"), F.decode(raw, "UTF-8"))
-        .when(is_dos, F.translate(F.col(column), LATIN1_HIGH, CP850_HIGH))
-        .otherwise(F.translate(F.col(column), LATIN1_HIGH, CP1252_HIGH))
+        .when(F.col("__ok"), F.col(column))
+        .when(is_dos, F.translate(F.col("__latin"), LATIN1_HIGH, CP850_HIGH))
+        .otherwise(F.translate(F.col("__latin"), LATIN1_HIGH, CP1252_HIGH))
     )
     kind = F.when(F.col("__ok"), "UTF-8").when(is_dos, "CP850").otherwise("Windows-1252")
     out = checked.withColumn("encoding", kind).withColumn(column, text)
-    return out.withColumn(column, F.regexp_replace(F.col(column), r"^\uFEFF", "")).drop("__ok")
+    return out.withColumn(column, F.regexp_replace(F.col(column), r"^\uFEFF", "")).drop("__ok", "__latin")
 
 
 def clear_na_text(df: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -177,7 +177,7 @@ def row_report(df: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 def peek_header(spark: SparkSession, path: str) -> tuple[str, bool]:
     """Header record and whether a `sep=` line precedes it, from the first 50 lines."""
-    lines = [r[0] for r in decode_lines(spark.read.option("encoding", "ISO-8859-1").text(path).limit(51)).select("value").collect()]
+    lines = [r[0] for r in decode_lines(spark.read.text(path).limit(51)).select("value").collect()]
     sep = bool(lines) and bool(re.fullmatch("sep=.", lines[0]))
     quotes, record = 0, []
     for line in lines[1 if sep else 0:]:
@@ -200,7 +200,7 @@ def read_delimited(spark: SparkSession, path: str, header: bool = True) -> tuple
 
     first = next(csv.reader(io.StringIO(record), delimiter=delimiter), [])
     names = repair_headers(first) if header else [f"col_{i}" for i in range(1, len(first) + 1)]
-    raw = spark.read.option("encoding", "ISO-8859-1").text(path)
+    raw = spark.read.text(path)
     decoded = decode_lines(raw)
     kinds = {r["encoding"]: r["count"] for r in decoded.groupBy("encoding").count().collect()}
     report = ReadReport(delimiter, sep, names, header_is_data(first), kinds)
