@@ -16,7 +16,7 @@ HEADLINE = (
     "json_from_row", "columns_join_filled", "problem_type_counts", "point_in_country", "coordinates_validated",
     "generalisation_plan", "measurements_unpivoted", "rows_exact_copies",
 )
-RUNS = 2
+RUNS = 1
 
 
 def main() -> None:

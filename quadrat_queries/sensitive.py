@@ -78,7 +78,7 @@ def generalisation_counts(spark, sf):
     return G.plan_counts(plan(spark, sf))
 
 
-NUM = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '\\.$', '')"
+NUM = "regexp_replace(regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '\\.$', ''), '^-0$', '0')"
 
 
 @query(

@@ -33,7 +33,7 @@ def main() -> int:
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
-        signal.alarm(90)
+        signal.alarm(60)
         try:
             if name in ORACLES:
                 note = mismatch(spark, fn, ORACLES[name], sf_dir, con)
