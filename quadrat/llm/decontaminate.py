@@ -92,6 +92,16 @@ def _prefixes(docs: DataFrame, windows: DataFrame, shingle: int) -> tuple[DataFr
     return prefix, widths, prefix.count()
 
 
+def _met(met: DataFrame) -> DataFrame:
+    """Windows that occur at a hit, and the end marks, from documents' shingles joined to prefixes."""
+    first = F.col("at") - F.col("inside")
+    fits = (first >= 0) & (first + F.col("n") <= F.size("words"))
+    equal = F.array_join(F.slice("words", first + 1, F.col("n")), " ") == F.col("window")
+    met = met.filter((F.col("ends") & F.col("window").isNull()) | (fits & equal))
+    return met.select("doc_id", "row_key", F.size("words").alias("n_words"),
+                      F.when(~F.col("ends"), first).alias("start"), "n", "window")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated), a row per document.
 
@@ -109,13 +119,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         mark = docs.sparkSession.range(1).select(
             F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(END_HASH).cast("bigint"), F.lit(0))
         small = broadcast_within(columns.unionAll(mark), size + 1, BROADCAST_ROWS)
-        met = _hashed(rows, keep, widths, end_mark=True).join(small, "shingle")
-        first = F.col("at") - F.col("inside")
-        fits = (first >= 0) & (first + F.col("n") <= F.size("words"))
-        equal = F.array_join(F.slice("words", first + 1, F.col("n")), " ") == F.col("window")
-        met = met.filter((F.col("ends") & F.col("window").isNull()) | (fits & equal))
-        every = met.select("doc_id", "row_key", F.size("words").alias("n_words"),
-                           F.when(~F.col("ends"), first).alias("start"), "n", "window")
+        every = None
+        for i, width in enumerate(widths):  # one width at a time: above a union Spark would copy whole texts
+            part = _met(_hashed(rows, keep, [width], end_mark=i == 0).join(small, "shingle"))
+            every = part if every is None else every.unionAll(part)
     else:
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("n", "int"), ("window", "string"))]
         every = rows.select("doc_id", "row_key", F.size("words").alias("n_words"), *nothing)

@@ -150,15 +150,15 @@ class LanguageModel:
 def _one_language(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Texts whose best path is surely one language, and the best single language of each text.
 
-    If no run of words gains more than one penalty in any other language, no change pays. The greatest gain of a
-    run is a running sum less its running minimum; a large drop at each text's start begins the minimum anew."""
+    If no run of words gains more than half a penalty in any other language, no change pays: k runs in others need
+    k - 1 changes at least, and one run over the whole text gains nothing. The greatest gain of a run is a running sum less its running minimum; a large drop at each text's start begins the minimum anew."""
     best = np.add.reduceat(scores, begins, axis=0).argmax(axis=1)
     gains = scores - np.take_along_axis(scores, np.repeat(best, sizes)[:, None], axis=1)
     drop = 1e9
     upto = np.cumsum(gains, axis=0, dtype=np.float64) - drop * np.repeat(np.arange(1, len(sizes) + 1), sizes)[:, None]
     before = upto - gains
     most = np.maximum.reduceat((upto - np.minimum.accumulate(before, axis=0)).max(axis=1), begins)
-    return most <= penalty - 0.01, best
+    return most <= penalty / 2 - 0.01, best
 
 
 def _viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:

@@ -97,10 +97,11 @@ def linked_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, row_key, fingerprint, component_id), a row per document.
+    """(doc_id, row_key, fingerprint, root, component_id), a row per document.
 
     `component_id` is the least doc_id that links lead to, the document's own included; null ids are passed
-    over. `row_key` tells rows of one doc_id and different texts apart. Texts without words, null among
+    over. `root`, the least fingerprint of the component as a signed number, names it even where one doc_id is the least
+    of two. `row_key` tells rows of one doc_id and different texts apart. Texts without words, null among
     them, have fingerprint zero and are linked like any other."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), _fingerprints(F.col("text")).alias("fp"))
     rows = stored(rows, "fingerprints")
@@ -108,9 +109,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = components(linked_fingerprints(nodes, distance)).withColumnRenamed("node", "fp")
     nodes = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
+    named = nodes.join(least, "root").select("fp", "root", "component_id")
     out = rows.join(named, "fp")
-    return out.select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -119,8 +120,7 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     Rows with equal ids and texts count as copies. Columns pass through as they are."""
     found = stored(near_duplicates(docs, distance), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("f")
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
-    kept = found.groupBy("component_id", group).agg(first).select(
+    kept = found.groupBy("root").agg(first).select(
         F.col("f.doc_id").alias("keep_id"), F.col("f.row_key").alias("keep_key"))
     rows = docs.select("*", F.xxhash64("text").alias("__key"))
     on = rows["doc_id"].eqNullSafe(kept["keep_id"]) & (rows["__key"] == kept["keep_key"])
