@@ -130,7 +130,8 @@ def red_list_categories(results: DataFrame) -> DataFrame:
     """(query_name, code): own category, for synonyms without one that of the accepted name."""
     own = results.select("query_name", "validation_status", "acceptedNameUsage", F.col("iucnRedListCategory").alias("code"))
     accepted = own.select(F.col("query_name").alias("acceptedNameUsage"), F.col("code").alias("__accepted"))
-    joined = own.join(accepted.dropDuplicates(["acceptedNameUsage"]), "acceptedNameUsage", "left")
+    accepted = accepted.groupBy("acceptedNameUsage").agg(F.min("__accepted").alias("__accepted"))
+    joined = own.join(accepted, "acceptedNameUsage", "left")
     fallback = F.when(F.col("validation_status") == "synonym", F.col("__accepted"))
     return joined.select("query_name", F.coalesce("code", fallback).alias("code"))
 

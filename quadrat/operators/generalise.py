@@ -135,8 +135,11 @@ def generalisation_plan(
     """The table plus plan columns `p_*`: what happens to each row's point, decided in one projection.
 
     levels: scientificName, tier. `p_target` rows are moved to the grid, `p_withheld` rows lose their
-    location, `p_kept` rows were generalised before, `p_snap` rows use the grid of their uncertainty."""
-    tiers = levels.select(F.col("scientificName").alias("__sp"), F.col("tier").alias("__tier")).dropDuplicates(["__sp"])
+    location, `p_kept` rows were generalised before, `p_snap` rows use the grid of their uncertainty. Of several
+    tiers for one species the coarsest holds."""
+    coarseness = F.coalesce(*[F.when(F.col("tier") == t, F.lit(float(g))) for t, g in TIER_GRIDS.items()], F.lit(0.0))
+    tiers = levels.groupBy(F.col("scientificName").alias("__sp")).agg(
+        F.max_by("tier", F.struct(coarseness, F.col("tier"))).alias("__tier"))
     base = resolve_sensitivity(df, threatened, decisions).withColumnsRenamed(
         {"sensitive": "__sensitive", "category": "p_category"}
     )

@@ -175,8 +175,15 @@ def near_land(points: DataFrame, index: DataFrame, lon: str, lat: str, metres: f
     )
 
 
+def _column_of(lon: Column, cell: float) -> Column:
+    """The cell column of a longitude; columns go round the globe, so 180 and -180 share one."""
+    return F.pmod(F.floor(lon / cell) + F.lit(round(180 / cell)), F.lit(round(360 / cell))).cast("int")
+
+
 def place_index(places: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(cx, cy, near) for reference places (lat, lon, radius_m), listed in every cell their circle touches."""
+    """(cx, cy, near) for reference places (lat, lon, radius_m), listed in every cell their circle touches.
+
+    `cell` divides 360; circles may cross the 180th meridian."""
     reach_y = F.col("radius_m") / METRES_PER_DEGREE
     reach_x = reach_y / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach_y, F.lit(89.0)))), F.lit(0.01))
 
@@ -184,7 +191,9 @@ def place_index(places: DataFrame, cell: float = 1.0) -> DataFrame:
         return F.floor(v / cell).cast("int")
 
     return (
-        places.withColumn("cx", F.explode(F.sequence(at(F.col("lon") - reach_x), at(F.col("lon") + reach_x))))
+        places.withColumn("cx", F.explode(F.array_distinct(F.transform(
+            F.sequence(at(F.col("lon") - F.least(reach_x, F.lit(180.0))), at(F.col("lon") + F.least(reach_x, F.lit(180.0)))),
+            lambda x: _column_of(x * cell, cell)))))
         .withColumn("cy", F.explode(F.sequence(at(F.col("lat") - reach_y), at(F.col("lat") + reach_y))))
         .groupBy("cx", "cy")
         .agg(F.collect_list(F.struct("lon", "lat", "radius_m")).alias("near"))
@@ -194,7 +203,7 @@ def place_index(places: DataFrame, cell: float = 1.0) -> DataFrame:
 def near_place(points: DataFrame, index: DataFrame, lon: str, lat: str, out: str = "near_place", cell: float = 1.0) -> DataFrame:
     """Add `out`: within the radius of some reference place."""
     side = index.select(F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), "near")
-    keyed = points.withColumn("__kx", F.floor(F.col(lon) / cell).cast("int")).withColumn(
+    keyed = points.withColumn("__kx", _column_of(F.col(lon), cell)).withColumn(
         "__ky", F.floor(F.col(lat) / cell).cast("int")
     )
     joined = keyed.join(side, (F.col("__kx") == F.col("__cx")) & (F.col("__ky") == F.col("__cy")), "left")

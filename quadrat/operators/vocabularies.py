@@ -70,14 +70,14 @@ def basis_key(value: Column | str) -> Column:
 
 
 def map_basis_of_record(df: DataFrame, column: str, decisions: DataFrame | None = None, out: str = "basisOfRecord") -> DataFrame:
-    """User decision (key, term; '' means skip) first, then the word lists."""
+    """User decision (key, term; '' means skip) first, then the word lists. Of several for a key a term beats a skip."""
     auto = basis_of_record(F.col(f"`{column}`"))
     if decisions is None:
         return df.withColumn(out, auto)
     term = text("term")
     side = decisions.select(
         F.col("key").alias("__key"), F.when(term.isin(*BASIS_LABELS), term).otherwise("").alias("__choice")
-    ).dropDuplicates(["__key"])
+    ).groupBy("__key").agg(F.max("__choice").alias("__choice"))
     joined = df.join(side, basis_key(F.col(f"`{column}`")) == F.col("__key"), "left")
     return joined.withColumn(out, F.coalesce("__choice", auto)).drop("__key", "__choice")
 
@@ -143,9 +143,8 @@ def with_establishment(
     """Establishment term per record: a mapped controlled value, else the answer for its species.
     Island records only take the island answer."""
     out = out or ("degreeOfEstablishment" if field == "degree" else "establishmentMeans")
-    side = clean_answers(answers).dropDuplicates(["key"]).select(
-        F.col("key").alias("__key"), F.col(field).alias("__main"), F.col(f"island_{field}").alias("__island")
-    )
+    both = F.struct(F.col(field).alias("__main"), F.col(f"island_{field}").alias("__island"))
+    side = clean_answers(answers).groupBy(F.col("key").alias("__key")).agg(F.max(both).alias("__both")).select("__key", "__both.*")
     joined = df.join(side, domain_key(species) == F.col("__key"), "left")
     answer = F.col("__main") if island is None else F.when(F.col(island).isNotNull(), F.col("__island")).otherwise(F.col("__main"))
     own = F.lit("") if mapped is None else canonical_establishment(mapped, field)

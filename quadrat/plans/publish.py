@@ -67,7 +67,7 @@ def conservation_status(
             out = out.withColumn("dynamicProperties", merge_property("dynamicProperties", key, F.when(F.col("__br"), F.col(column))))
         out = out.drop("__br", "__cat", "__src")
     if red_list is not None:
-        side = red_list.select(F.col("query_name").alias("__n"), F.col("code").alias("__code")).dropDuplicates(["__n"])
+        side = red_list.select(F.col("query_name").alias("__n"), F.col("code").alias("__code")).groupBy("__n").agg(F.min("__code").alias("__code"))
         out = out.join(side, F.col("scientificName") == F.col("__n"), "left")
         out = out.withColumn("dynamicProperties", merge_property("dynamicProperties", "iucnRedListCategory", F.col("__code"))).drop("__n", "__code")
     return out

@@ -162,7 +162,7 @@ def normalise_export(
     base = deployments
     model = F.lit(None).cast("string")
     if cameras is not None:
-        side = cameras.select(F.col("camera_id"), F.trim(F.concat_ws(" ", pick(cameras, "make"), "model")).alias("__model")).dropDuplicates(["camera_id"])
+        side = cameras.select(F.col("camera_id"), F.trim(F.concat_ws(" ", pick(cameras, "make"), "model")).alias("__model")).groupBy("camera_id").agg(F.min("__model").alias("__model"))
         base, model = base.join(side, "camera_id", "left"), F.col("__model")
     dep = base.select(
         F.col("deployment_id").alias("deploymentID"), pick(base, "placename").alias("locationName"),

@@ -85,7 +85,7 @@ def point_on_land_with_coast(spark, sf):
 
 NEAR_SQL = " OR ".join(
     f"2 * 6371008.8 * asin(least(1.0, sqrt(power(sin(radians(lat - ({la})) / 2), 2) + cos(radians({la})) * cos(radians(lat)) * "
-    f"power(sin(radians(lon - ({lo})) / 2), 2)))) <= {r} AND abs(lon - ({lo})) < 180" for la, lo, r in PLACES
+    f"power(sin(radians(lon - ({lo})) / 2), 2)))) <= {r}" for la, lo, r in PLACES
 )
 
 

@@ -121,3 +121,10 @@ def test_stream_cleaning_and_status(spark, tmp_path):
     sink(spark.createDataFrame([("a", "ambiguous", "q", 3), ("b", "synonym", "q", 4)], schema), 1)
     got = {r["query_name"]: (r["validation_status"], r["display_order"]) for r in spark.read.parquet(str(tmp_path / "state/version=1")).collect()}
     assert got == {"a": ("accepted", 3), "b": ("synonym", 4)}
+
+
+def test_places_are_near_across_the_180th_meridian(spark):
+    places = spark.createDataFrame([(0.0, 179.9, 150_000.0), (10.0, -179.95, 150_000.0)], "lat double, lon double, radius_m double")
+    points = spark.createDataFrame([(1, 0.0, -179.95), (2, 10.0, 179.99), (3, 10.0, 180.0), (4, 0.0, 0.1), (5, 0.0, -178.0)], "id int, lat double, lon double")
+    found = S.near_place(points, S.place_index(places), "lon", "lat")
+    assert {r.id for r in found.filter("near_place").collect()} == {1, 2, 3}
