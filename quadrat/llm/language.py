@@ -44,18 +44,19 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 
 
 @lru_cache(maxsize=1)
-def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point: is it a letter (or a mark on one), its lower case, its script."""
+def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: is it a letter or a mark, its lower case, its script, is it a mark."""
     letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+    mark = np.zeros(0x110000, bool)
     for code in range(0x110000):
         kind = unicodedata.category(chr(code))
         if kind[0] in "LM":
-            letter[code] = True
+            letter[code], mark[code] = True, kind[0] == "M"
             if kind in ("Lu", "Lt") and len(small := chr(code).lower()) == 1:
                 lower[code] = ord(small)
     firsts = np.array([first for first, _ in SCRIPTS])
     numbers = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS], np.uint8)
-    return letter, lower, numbers[np.searchsorted(firsts, np.arange(0x110000), "right") - 1]
+    return letter, lower, numbers[np.searchsorted(firsts, np.arange(0x110000), "right") - 1], mark
 
 
 @dataclass
@@ -75,13 +76,16 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    letter, lower, scripts = character_tables()
+    letter, lower, scripts, mark = character_tables()
     joined = "\n" + "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     offsets = np.cumsum([1, *[len(t) + 1 for t in texts]])
     inside = letter[codes]
     edges = np.diff(inside.view(np.int8))
     starts, ends = np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1) + 1
+    for i in np.flatnonzero(mark[codes[starts]]):  # marks alone, such as those in emoji, are no word
+        inside[starts[i]:ends[i]] = not mark[codes[starts[i]:ends[i]]].all()
+    starts, ends = starts[inside[starts]], ends[inside[starts]]
     small = np.where(inside, lower[codes], 0).astype(np.uint32)
     places = np.flatnonzero(inside)
     mixed = small[places - 1] * np.uint32(0x9E3779B1) ^ small[places] * np.uint32(0x85EBCA77) ^ small[places + 1] * np.uint32(0xC2B2AE3D)

@@ -48,6 +48,7 @@ class Settings:
     min_toxic_share: float = 0.01
     min_share: float = 0.95
     sample: int = 20_000
+    repeats: int = 50
     rounds: int = 60
     dependency: float = 0.005
 
@@ -235,7 +236,9 @@ def train_linear(rows: list[tuple[int, list[str]]], labels: np.ndarray, epochs:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
     """`labels` has doc_id and toxic (0/1) of the rows that may be learned from; the greatest of repeated labels holds.
 
-    Without labels the hand lists alone vote; an empty table gives a model that scores all texts low."""
+    The classifier learns from at most `settings.sample` rows, of which rows alike in votes and entries weigh as
+    `settings.repeats` at most. Without labels the hand lists alone vote; an empty table gives a model that scores
+    all texts low."""
     words, stems = mine_entries(docs, labels, settings)
 
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -253,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     some = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(chosen, "row").select("text")
     rows = some.mapInPandas(_hits(words, stems), "bits int, entries array<string>").groupBy("bits", "entries").agg(
         F.count("*").alias("n")).orderBy("bits", "entries").limit(settings.sample).collect()
-    kinds = [(r["bits"], list(r["entries"])) for r in rows for _ in range(min(r["n"], 50))]
+    kinds = [(r["bits"], list(r["entries"])) for r in rows for _ in range(min(r["n"], settings.repeats))]
     soft = model.posterior(_unpacked(np.array([bits for bits, _ in kinds], np.int64)))
     weights, bias = train_linear(kinds, soft)
     return ToxicityModel(words, stems, model, weights, bias)

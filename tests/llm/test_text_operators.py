@@ -245,6 +245,13 @@ def test_language_on_held_out_rows(docs, nothing):
     assert language.keep_identified(docs, model).columns == docs.columns
 
 
+def test_marks_without_letters_are_no_language():
+    model = language.LanguageModel(["a", "b"], np.log(np.full((language.BUCKETS, 2), 0.5, np.float32)), np.ones((len(language.SCRIPT_NAMES), 2), bool))
+    texts = ["❤️ 1️⃣ 23", "café ❤️", "́a", ""]
+    assert [(p, len(s)) for p, _, s in language.label_texts(texts, model)] == [("und", 0), ("a", 1), ("a", 1), ("und", 0)]
+    assert language.words_of(texts).letters.tolist() == [5, 2]
+
+
 def test_viterbi_equals_all_paths():
     scores = np.random.default_rng(0).normal(size=(6, 6, 3)) * 3
     for row, path in zip(scores, language._viterbi(scores, 2.0), strict=True):
