@@ -424,6 +424,14 @@ def redact_shared_text(texts: DataFrame, points: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("__hits").isNotNull(), clean).otherwise(F.col("text"))).drop("__hits")
 
 
+def clean_justification(justification: str, points: DataFrame) -> str:
+    """The custodian's text without the protected points it spells; one row, read back once per export."""
+    if not justification.strip():
+        return ""
+    one = points.sparkSession.createDataFrame([(0, justification.strip())], "id int, text string")
+    return redact_shared_text(one, points).first()["text"].strip()
+
+
 def point_text_rows(plan: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Rows of a protected species without a usable point whose text cells still hold a coordinate."""
     no_point = F.col("p_lat").isNull() | F.col("p_lon").isNull()

@@ -11,8 +11,6 @@ from quadrat.functions.text import is_blank, text
 from quadrat.operators.numbering import HOT_ROWS, number_within, repeated_flag
 from quadrat.session import ensure_checkpoint_dir
 
-MAX_ROUNDS = 20
-
 
 def generate_ids(
     df: DataFrame, columns: list[str], reserved: DataFrame | None = None, row_id: str = "row_id",
@@ -21,7 +19,8 @@ def generate_ids(
     """(row_id, occurrenceID): name-based UUIDs of the row content and its number among equal rows.
 
     `reserved` (column `id`) holds identifiers that are taken. A row that meets one takes the next
-    number after its group; each round only handles the rows that still clash."""
+    number after its group; each round only handles the rows that still clash, and there are as many rounds as
+    it takes: numbers only grow and taken identifiers are finite."""
     content = fence(df.select(row_id, content_text(columns).alias("__text")), ["__text"])
     content = content.withColumn("__key", F.coalesce(F.sha2("__text", 256), F.lit("")))
     numbered = number_within(content, ["__key"], "__number", row_id, hot_rows)
@@ -31,21 +30,19 @@ def generate_ids(
     taken = reserved.select(F.col("id").alias("occurrenceID"))
     done = fresh.join(taken, "occurrenceID", "left_anti").select(row_id, "occurrenceID")
     clash = fresh.join(taken, "occurrenceID", "left_semi")
-    for _ in range(MAX_ROUNDS):
-        if clash.isEmpty():
-            return done
+    while not clash.isEmpty():
         ensure_checkpoint_dir(df.sparkSession)
         clash = clash.select(row_id, "__text", "__key", F.col("__number").alias("__old")).checkpoint()
         tops = numbered.groupBy("__key").agg(F.max("__number").alias("__top"))
         again = number_within(clash, ["__key"], "__step", row_id, hot_rows)
         numbered = again.join(tops, "__key").withColumn("__number", F.col("__top") + F.col("__step"))
-        numbered = numbered.select(row_id, "__text", "__key", "__number")
+        numbered = numbered.select(row_id, "__text", "__key", "__number").checkpoint()
         retry = numbered.withColumn("occurrenceID", persistent_id(F.col("__text"), F.col("__number")))
         done = done.unionByName(
             retry.join(taken, "occurrenceID", "left_anti").select(row_id, "occurrenceID")
         )
         clash = retry.join(taken, "occurrenceID", "left_semi")
-    raise ValueError("identifiers still clash with supplied ones")
+    return done
 
 
 def resolve_ids(

@@ -88,9 +88,9 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
             decisions = rekey_decisions(decisions, inputs.reviews)
         ensure_checkpoint_dir(inputs.records.sparkSession)
         plan = G.generalisation_plan(effective, inputs.levels, inputs.threatened, decisions).checkpoint()
-        masked, private = G.mask_locations(plan, row_id, inputs.justification)
-        masked = masked.checkpoint()
         points = G.protected_points(plan)
+        masked, private = G.mask_locations(plan, row_id, G.clean_justification(inputs.justification, points))
+        masked = masked.checkpoint()
         moved = plan.filter("p_target OR p_withheld").select(row_id)
     status = conservation_status(
         masked, inputs.threatened if inputs.national_status else None, inputs.red_list, moved, row_id

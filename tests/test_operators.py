@@ -8,6 +8,7 @@ from quadrat.operators import generalise as G
 from quadrat.operators import numbering as W
 from quadrat.operators import spatial as S
 from quadrat.operators.fuzzy import fuzzy_pairs
+from quadrat.operators.ids import generate_ids
 from quadrat.plans import publish as X
 from quadrat.sources import delimited as D
 from quadrat.sources import lists as L
@@ -128,3 +129,18 @@ def test_places_are_near_across_the_180th_meridian(spark):
     points = spark.createDataFrame([(1, 0.0, -179.95), (2, 10.0, 179.99), (3, 10.0, 180.0), (4, 0.0, 0.1), (5, 0.0, -178.0)], "id int, lat double, lon double")
     found = S.near_place(points, S.place_index(places), "lon", "lat")
     assert {r.id for r in found.filter("near_place").collect()} == {1, 2, 3}
+
+
+def test_justification_loses_protected_points(spark):
+    points = spark.createDataFrame([(-23.5505, -46.6333, 0.1, "-23.6", "-46.6")], "lat double, lon double, grid double, pub_lat string, pub_lon string")
+    clean = G.clean_justification(" nest at -23.5505, seen in 2019 ", points)
+    assert "23.5505" not in clean and clean.startswith("nest at") and clean.endswith("seen in 2019")
+    assert G.clean_justification("  ", points) == ""
+
+
+def test_ids_pass_over_many_taken_numbers(spark):
+    kinds = "row_id long, a string"
+    taken = generate_ids(spark.createDataFrame([(i, "same") for i in range(23)], kinds), ["a"]).select(F.col("occurrenceID").alias("id")).collect()
+    gaps = spark.createDataFrame([(100, "same")], kinds)
+    made = generate_ids(gaps, ["a"], spark.createDataFrame(taken, "id string")).collect()
+    assert len(made) == 1 and made[0].occurrenceID not in {r.id for r in taken}
