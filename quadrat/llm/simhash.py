@@ -118,7 +118,11 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     """`docs` with one row of each component: that with the least doc_id, then the least text hash.
 
     Rows with equal ids and texts count as copies. Columns pass through as they are."""
-    found = stored(near_duplicates(docs, distance), "near-duplicates")
+    return keep_first(docs, stored(near_duplicates(docs, distance), "near-duplicates"))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` with one row of each `root` of `found` (doc_id, row_key, root): the least doc_id, then row_key."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("f")
     kept = found.groupBy("root").agg(first).select(
         F.col("f.doc_id").alias("keep_id"), F.col("f.row_key").alias("keep_key"))
