@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +40,11 @@ WIDE = (
     (IP, r"(?<![0-9])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])"),
     (IP, r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     (CARD, r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{4}){3}(?![0-9])"),
-    (PHONE, r"(?<![0-9A-Za-z+.-])(?:00|\()?[0-9](?:[ ()./-]{0,2}[0-9]){8,14}(?![0-9A-Za-z])"),
+    (PHONE, r"(?<![0-9A-Za-z+.-])(?:\+|00|\()?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])"),
 )
-# One of these stands in every spelled-out address.
-SPELLED = ("(at)", "[at]", "{at}", " dot ", "(dot)", "[dot]", "{dot}")
+# The second half of the wide e-mail form and of the hexadecimal IP without digits; every match holds it.
+SPELLED = r"(?i)(?:\[at\]|\(at\)|\{at\}| at |@) ?[a-z0-9-]{2,63} ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[a-z]{2}"
+HEX = "[A-Fa-f]:[A-Fa-f]"
 CUES = {
     EMAIL: "(?i)mail|contact|write|reach|schreib|kontakt|correo|courriel",
     IP: r"(?i)\bip\b|address|host|server|adresse|dirección",
@@ -174,27 +173,28 @@ def _pattern(x: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """`docs` with `__base`, the valid base spans, and `__more`, other candidates that touch none of them."""
     text = F.coalesce("text", F.lit(""))
-    any_of = lambda marks: reduce(or_, [text.contains(m) for m in marks])
     df = docs.withColumns({
         "__at": text.contains("@"), "__digit": text.rlike("[0-9]"), "__plus": text.contains("+"),
-        "__spelled": any_of([*SPELLED, *(m.upper() for m in SPELLED)]),
+        "__spelled": text.rlike(SPELLED), "__hex": text.rlike(HEX),
     })
     at, digit = F.col("__at"), F.col("__digit")
     gates = {EMAIL: at, IP: digit, CARD: digit, PHONE: digit & F.col("__plus")}
-    wide = {EMAIL: at | F.col("__spelled"), IP: digit, CARD: digit, PHONE: digit}
+    wide = {EMAIL: F.col("__spelled"), IP: digit | F.col("__hex"), CARD: digit, PHONE: digit}
     df = df.withColumns({
         "__all": F.concat(*[_located(text, BASE[k], k, True, gates[k]) for k in range(4)]),
         "__wide": F.concat(*[_located(text, p, k, False, wide[k]) for k, p in WIDE]),
-    }).drop("__at", "__digit", "__plus", "__spelled")
+    }).drop("__at", "__digit", "__plus", "__spelled", "__hex")
     df = df.withColumn("__base", F.array_sort(F.filter("__all", lambda x: x["base"])))
     touches = lambda x: F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    failed = F.filter("__all", lambda x: ~x["base"] & (x["kind"] != PHONE))
-    df = df.withColumn("__more", F.filter(F.concat(failed, "__wide"), lambda x: ~touches(x)))
+    same = lambda a, b: (a["kind"] == b["kind"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
+    df = df.withColumn("__failed", F.filter("__all", lambda x: ~x["base"]))
+    new = F.filter("__wide", lambda x: ~F.exists("__failed", lambda b: same(x, b)))
+    df = df.withColumn("__more", F.filter(F.concat("__failed", new), lambda x: ~touches(x)))
     described = lambda x: F.struct(
         x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), _pattern(x).alias("pattern"))
     return df.withColumns({
         "__base": F.transform("__base", described), "__more": F.transform("__more", described),
-    }).drop("__all", "__wide")
+    }).drop("__all", "__wide", "__failed")
 
 
 def fit(docs: DataFrame, how: Boosting = Boosting()) -> SpanModel:
