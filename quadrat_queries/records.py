@@ -12,6 +12,7 @@ from quadrat.operators import quality as P
 from quadrat.operators import taxa as T
 from quadrat.operators import vocabularies as V
 from quadrat.operators import countries as K
+from quadrat.session import ensure_checkpoint_dir
 from quadrat_queries.fixtures import (
     COUNTRY_SQL, LAT_SQL, LON_SQL, NAMES_CTE, THREATENED_CTE, invasive, mapped, reviews, threatened, with_mapped,
 )
@@ -24,6 +25,9 @@ UUID_SQL = (
 )
 HASH_SQL = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(content || chr(30) || number))"
 
+#: Lines in one slice of a hot group: fewer than any of the three groups has on the given tables.
+SLICE_ROWS = 1_000
+
 
 @query(
     "id_content_uuid",
@@ -97,15 +101,27 @@ def id_repeats_replaced(spark, sf):
     "QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber, l_quantity) = 1",
 )
 def rows_numbered_within_group(spark, sf):
-    """Three groups share all lines, so the slices of hot groups are exercised."""
-    key = (
-        F.col("l_orderkey") * 100000000000 + F.col("l_partkey") * 10000 + F.col("l_linenumber") * 100
-        + F.col("l_quantity").cast("long")
-    )
-    lines = table(spark, sf, "lineitem").withColumn("row_id", key)
-    numbered = W.number_within(lines, ["l_returnflag"], "number", hot_rows=1_000_000_000_000)
-    once = lines.groupBy("row_id").agg(F.count("*").alias("n")).filter("n = 1").select("row_id")
-    return numbered.join(once, "row_id", "left_semi").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "number")
+    """The lines whose key is unique, with their numbers among all lines."""
+    numbered = rows_numbered_whole_table(spark, sf)
+    key = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
+    once = numbered.groupBy(*key).agg(F.count("*").alias("n")).filter("n = 1").select(*key)
+    return numbered.join(once, key, "left_semi").select(*key, "number")
+
+
+@query(
+    "rows_numbered_whole_table",
+    "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY "
+    "l_orderkey, l_partkey, l_linenumber, l_quantity) AS number FROM lineitem",
+)
+def rows_numbered_whole_table(spark, sf):
+    """Three groups share all lines, so the slices of hot groups are exercised. Lines of one key differ in nothing shown.
+
+    The order column is unique and dense in each sorted range of lines; it is written once, so that all uses agree."""
+    key = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
+    ranged = table(spark, sf, "lineitem").select(*key, "l_returnflag").repartitionByRange(*key).sortWithinPartitions(*key)
+    ensure_checkpoint_dir(spark)
+    lines = ranged.withColumn("row_id", F.monotonically_increasing_id()).checkpoint()
+    return W.number_within(lines, ["l_returnflag"], "number", hot_rows=SLICE_ROWS).select(*key, "number")
 
 
 @query(
