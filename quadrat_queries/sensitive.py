@@ -114,6 +114,20 @@ def texted():
     return F.concat(F.lit("seen at "), F.col("decimalLatitude"), F.lit(" / "), F.col("decimalLongitude"), F.lit(" near 12.5 m"))
 
 
+def own_points_redacted(spark, sf):
+    """The public remarks of all rows with the point, grid and published point of their plan."""
+    p = plan(spark, sf, mapped(spark, sf).withColumn("occurrenceRemarks", texted()))
+    public, _ = G.mask_locations(p)
+    flags = p.select("row_id", "p_target", "p_eff_grid", "p_lat", "p_lon", "p_pub_lat", "p_pub_lon")
+    return public.join(flags, "row_id")
+
+
+@query("own_point_redacted_all_rows")
+def own_point_redacted_all_rows(spark, sf):
+    """All rows, points near an axis or with close axes too; their rule is too long for SQL and tested on its own."""
+    return own_points_redacted(spark, sf).select("row_id", "occurrenceRemarks")
+
+
 @query(
     "own_point_redacted_in_text",
     with_mapped(
@@ -124,14 +138,10 @@ def texted():
     ),
 )
 def own_point_redacted_in_text(spark, sf):
-    remarks = mapped(spark, sf).withColumn("occurrenceRemarks", texted())
-    p = plan(spark, sf, remarks)
-    public, _ = G.mask_locations(p)
-    flags = p.select("row_id", "p_target", "p_eff_grid", "p_lat", "p_lon")
+    joined = own_points_redacted(spark, sf)
     far = (F.abs("p_lat") > 14) & (F.abs("p_lon") > 14) & (F.abs(F.abs("p_lat") - F.abs("p_lon")) > 2.5)
     coarse = F.coalesce(F.col("p_target") & (F.col("p_eff_grid") > 0.01), F.lit(False))
-    joined = public.join(flags, "row_id").filter(~coarse | far)
-    return joined.select("row_id", F.regexp_extract("occurrenceRemarks", r"^(seen at .*? / )", 1).alias("start_text"))
+    return joined.filter(~coarse | far).select("row_id", F.regexp_extract("occurrenceRemarks", r"^(seen at .*? / )", 1).alias("start_text"))
 
 
 @query("sensitive_species_overview", with_mapped(

@@ -165,6 +165,21 @@ def archive_ids_reconciled(spark, sf):
     return L.reconcile_ids(sent, kept.unionByName(extra))
 
 
+@query(
+    "archive_shared_ids_reconciled",
+    with_occ(
+        "SELECT DISTINCT tombo AS occurrenceID, 'missing' AS state FROM occ WHERE tombo <> '' AND tombo NOT IN (SELECT tombo FROM occ WHERE row_id % 6 <> 1) "
+        "UNION ALL SELECT concat('P-', row_id), 'unexpected' FROM occ WHERE row_id % 50 = 0"
+    ),
+)
+def archive_shared_ids_reconciled(spark, sf):
+    """All identifiers, the repeated one included: it is published if any of its rows is."""
+    sent = occ(spark, sf).select("row_id", F.col("tombo").alias("occurrenceID"))
+    kept = sent.filter("row_id % 6 <> 1 AND occurrenceID <> ''")
+    extra = sent.filter("row_id % 50 = 0").select(F.concat(F.lit("P-"), F.col("row_id").cast("string")).alias("occurrenceID"))
+    return L.reconcile_ids(sent.select("occurrenceID"), kept.select("occurrenceID").unionByName(extra))
+
+
 @query(
     "threatened_list_from_markdown",
     "SELECT p_name AS scientificName, CASE p_size % 3 WHEN 0 THEN 'VU' WHEN 1 THEN 'EN' ELSE 'CR' END AS category, CASE WHEN p_partkey * 10 > 500 THEN 'ANEXO 2' ELSE 'ANEXO 1' END AS source "
