@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontaminate, language, line_rules, packing, pii, simhash, token_counts, toxicity, url_filter, warc
+from quadrat.llm import (
+    decontaminate, language, line_rules, packing, periodic, pii, simhash, token_counts, toxicity, url_filter, warc,
+)
+from quadrat.llm.common import split_words
 from quadrat.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +98,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("row_key")
 
 
+def _repeated_tail(docs: DataFrame) -> DataFrame:
+    """Documents of the contract: a tenth of the texts repeat a stretch of their words from one place on."""
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    tenth = F.coalesce(F.col("h") % 10 == 0, F.lit(False))
+    rows = rows.withColumn("words", F.when(tenth, split_words(F.col("text"))))
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    word = lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+    return rows.select("doc_id", F.when(F.coalesce(n > 0, F.lit(False)), tail).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_repeated_tail(table(spark, sf_dir, "documents")))
+    top = F.sort_array(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    return found.withColumn("top", F.get(top, F.lit(0))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ORACLES["op2_warc"] = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
