@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm import (
-    decontaminate, language, line_rules, packing, periodic, pii, simhash, token_counts, toxicity, url_filter, warc,
+    decontaminate, language, line_rules, packing, periodic, pii, relative, simhash, token_counts, toxicity, url_filter, warc,
 )
 from quadrat.llm.common import split_words
 from quadrat.session import ensure_checkpoint_dir
@@ -123,6 +123,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relative.drop_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ORACLES["op2_warc"] = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -206,3 +212,15 @@ items AS (SELECT row, count(DISTINCT item_id) AS n_items,
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
 FROM d LEFT JOIN pos USING (row) LEFT JOIN items USING (row)"""
+
+ORACLES["op13_substring_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS g
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(50)) AS k FROM w JOIN f USING (g) WHERE doc_id > first),
+lists AS (SELECT doc_id, count(*) AS n, list(k) AS ks FROM gone GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM d),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM p ANTI JOIN gone USING (doc_id, k) GROUP BY p.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
