@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm import (
-    decontaminate, language, line_rules, packing, periodic, pii, relative, simhash, token_counts, toxicity, url_filter, warc,
+    decontaminate, language, line_rules, packing, periodic, phrases, pii, relative, simhash, token_counts, toxicity,
+    url_filter, warc,
 )
 from quadrat.llm.common import split_words
 from quadrat.session import ensure_checkpoint_dir
@@ -123,6 +124,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relative.drop_repeated(table(spark, sf_dir, "documents"))
@@ -224,3 +230,27 @@ p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS
 kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM p ANTI JOIN gone USING (doc_id, k) GROUP BY p.doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+ORACLES["op12_collocations"] = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m))
+  GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ')
+  JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(ws[i:i + z - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM c WHERE m > 2)))
+  GROUP BY lang, phrase)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase,
+  a, l, r, n.n, score::BIGINT AS score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000"""
