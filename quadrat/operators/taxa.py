@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.names import DERIVED_TERMS, name_parts, query_name
+from quadrat.functions.names import DERIVED_TERMS, query_name, with_parts
 from quadrat.functions.text import blank_to_null, is_blank, match_form, text
 from quadrat.operators.numbering import first_per_key, last_per_key
 
@@ -15,11 +15,11 @@ TAXON_TERMS = (*DERIVED_TERMS, "scientificNameAuthorship")
 def parsed_names(df: DataFrame, column: str, key: str = "__name") -> DataFrame:
     """(key, parts) for each distinct non-NULL name of a column."""
     distinct = df.select(F.col(f"`{column}`").alias(key)).filter(F.col(key).isNotNull()).distinct()
-    return distinct.withColumn("parts", name_parts(F.col(key)))
+    return with_parts(distinct, key)
 
 
 def with_name_parts(df: DataFrame, column: str = "scientificName", out: str = "parts") -> DataFrame:
-    """Attach the parsed parts of each name. Only distinct names reach the Python parser."""
+    """Attach the parsed parts of each name. Only distinct names are parsed."""
     parsed = parsed_names(df, column).withColumnRenamed("parts", out)
     return df.join(parsed, F.col(f"`{column}`") == F.col("__name"), "left").drop("__name")
 

@@ -7,7 +7,7 @@ from quadrat.functions import coords as C
 from quadrat.functions import dates as D
 from quadrat.functions import jsontext as J
 from quadrat.functions import numbers as M
-from quadrat.functions.names import parse_name
+from quadrat.functions.names import with_parts
 from quadrat.functions.redaction import redact_cell
 
 DATES = {
@@ -75,10 +75,10 @@ NAMES = {
 }
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_names(name):
-    p = parse_name(name)
-    assert (p["canonicalName"], p["taxonRank"], p["scientificNameAuthorship"], p["nameIssue"]) == NAMES[name]
+def test_names(spark):
+    rows = with_parts(spark.createDataFrame([(n,) for n in NAMES], "name string"), "name").collect()
+    got = {r["name"]: tuple(r["parts"][f] for f in ("canonicalName", "taxonRank", "scientificNameAuthorship", "nameIssue")) for r in rows}
+    assert got == NAMES
 
 
 def test_uncertainty_and_counts(spark):
