@@ -204,7 +204,7 @@ def ordered_columns(columns: list[str], row_id: str = "row_id") -> list[str]:
     catalogue = term_catalogue_rows()
     class_of = {r[0]: r[1] for r in catalogue}
     place = {r[0]: i for i, r in enumerate(catalogue)}
-    preferred = {t: i for cls in PREFERRED_ORDER.values() for i, t in enumerate(cls.split())}
+    preferred = {t: i for cls in PREFERRED_ORDER.values() for i, t in enumerate(cls)}
     classes = {c: i for i, c in enumerate(CLASS_ORDER)}
     far = len(catalogue)
 
