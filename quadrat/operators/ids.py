@@ -12,37 +12,65 @@ from quadrat.operators.numbering import HOT_ROWS, number_within, repeated_flag
 from quadrat.session import ensure_checkpoint_dir
 
 
+#: By how much the searched numbers of a content grow at a time, and how many one row is expanded to.
+GROWTH, SLICE = 8, 10_000
+
+
+def _minted(groups: DataFrame) -> DataFrame:
+    """(__key, __number, occurrenceID) of the numbers above `__from` up to `__upto` of each content.
+
+    The numbers are made slice by slice, so that no task expands a long range alone."""
+    first, last = F.floor(F.col("__from") / SLICE), F.floor((F.col("__upto") - 1) / SLICE)
+    slices = groups.filter(F.col("__upto") > F.col("__from")).withColumn("__slice", F.explode(F.sequence(first, last)))
+    slices = slices.repartition("__key", "__slice")
+    low = F.greatest(F.col("__from"), F.col("__slice") * SLICE) + 1
+    high = F.least(F.col("__upto"), (F.col("__slice") + 1) * SLICE)
+    numbers = slices.select("__key", "__text", F.explode(F.sequence(low, high)).alias("__number"))
+    return numbers.select("__key", "__number", persistent_id(F.col("__text"), F.col("__number")).alias("occurrenceID"))
+
+
+def _shifts(numbered: DataFrame, taken: DataFrame, hot_rows: int) -> DataFrame:
+    """(__key, __islands): for contents with taken numbers, by how much the numbers of their rows move up.
+
+    The r-th free number is r plus the taken numbers below it. With the i-th taken number t, those are the i with
+    t - i < r; numbers in a row share t - i, so one entry (t - i, i) for each island of taken numbers tells all.
+    Numbers are searched up to a bound that grows by GROWTH until a content has as many free ones as rows."""
+    groups = numbered.groupBy("__key").agg(F.first("__text").alias("__text"), F.max("__number").alias("__rows"))
+    fresh = numbered.select("__key", "__number", persistent_id(F.col("__text"), F.col("__number")).alias("occurrenceID"))
+    ensure_checkpoint_dir(numbered.sparkSession)
+    found = fresh.join(taken, "occurrenceID", "left_semi").select("__key", "__number").checkpoint()
+    counts = found.groupBy("__key").agg(F.count("*").alias("__taken"))
+    open_ = groups.join(counts, "__key").withColumn("__upto", F.col("__rows")).checkpoint()
+    while not open_.isEmpty():
+        wider = open_.withColumn("__from", F.col("__upto")).withColumn("__upto", F.col("__upto") * GROWTH)
+        more = _minted(wider).join(taken, "occurrenceID", "left_semi").select("__key", "__number").checkpoint()
+        found = found.unionByName(more)
+        counts = more.groupBy("__key").agg(F.count("*").alias("__more"))
+        open_ = wider.join(counts, "__key", "left").withColumn("__taken", F.col("__taken") + F.coalesce("__more", F.lit(0)))
+        open_ = open_.filter(F.col("__upto") - F.col("__taken") < F.col("__rows")).drop("__more", "__from").checkpoint()
+    ranked = number_within(found, ["__key"], "__i", "__number", hot_rows)
+    islands = ranked.groupBy("__key", (F.col("__number") - F.col("__i")).alias("__below")).agg(F.max("__i").alias("__i"))
+    return islands.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__below", "__i"))).alias("__islands"))
+
+
 def generate_ids(
     df: DataFrame, columns: list[str], reserved: DataFrame | None = None, row_id: str = "row_id",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(row_id, occurrenceID): name-based UUIDs of the row content and its number among equal rows.
 
-    `reserved` (column `id`) holds identifiers that are taken. A row that meets one takes the next
-    number after its group; each round only handles the rows that still clash, and there are as many rounds as
-    it takes: numbers only grow and taken identifiers are finite."""
+    `reserved` (column `id`) holds identifiers that are taken. The rows of one content get, in order, the numbers
+    whose identifiers are free, so a later row never passes an earlier one."""
     content = fence(df.select(row_id, content_text(columns).alias("__text")), ["__text"])
     content = content.withColumn("__key", F.coalesce(F.sha2("__text", 256), F.lit("")))
     numbered = number_within(content, ["__key"], "__number", row_id, hot_rows)
-    fresh = numbered.withColumn("occurrenceID", persistent_id(F.col("__text"), F.col("__number")))
-    if reserved is None:
-        return fresh.select(row_id, "occurrenceID")
-    taken = reserved.select(F.col("id").alias("occurrenceID"))
-    done = fresh.join(taken, "occurrenceID", "left_anti").select(row_id, "occurrenceID")
-    clash = fresh.join(taken, "occurrenceID", "left_semi")
-    while not clash.isEmpty():
-        ensure_checkpoint_dir(df.sparkSession)
-        clash = clash.select(row_id, "__text", "__key", F.col("__number").alias("__old")).checkpoint()
-        tops = numbered.groupBy("__key").agg(F.max("__number").alias("__top"))
-        again = number_within(clash, ["__key"], "__step", row_id, hot_rows)
-        numbered = again.join(tops, "__key").withColumn("__number", F.col("__top") + F.col("__step"))
-        numbered = numbered.select(row_id, "__text", "__key", "__number").checkpoint()
-        retry = numbered.withColumn("occurrenceID", persistent_id(F.col("__text"), F.col("__number")))
-        done = done.unionByName(
-            retry.join(taken, "occurrenceID", "left_anti").select(row_id, "occurrenceID")
-        )
-        clash = retry.join(taken, "occurrenceID", "left_semi")
-    return done
+    if reserved is not None:
+        taken = reserved.select(F.col("id").alias("occurrenceID"))
+        passed = F.filter("__islands", lambda x: x["__below"] < F.col("__number"))
+        shift = F.coalesce(F.array_max(F.transform(passed, lambda x: x["__i"])), F.lit(0))
+        numbered = numbered.join(_shifts(numbered, taken, hot_rows), "__key", "left")
+        numbered = numbered.withColumn("__number", F.col("__number") + shift)
+    return numbered.select(row_id, persistent_id(F.col("__text"), F.col("__number")).alias("occurrenceID"))
 
 
 def resolve_ids(

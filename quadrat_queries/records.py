@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.identifiers import content_text, persistent_id
@@ -41,6 +42,30 @@ def id_content_uuid(spark, sf):
     return I.generate_ids(occ(spark, sf).select("row_id", "especie", "pais", "sexo"), ["especie", "pais", "sexo"], hot_rows=50)
 
 
+_TAKEN = "n IN (2, 3, 5, 6, 7)"
+
+
+@query(
+    "id_taken_numbers_passed",
+    with_occ(
+        ", c AS (SELECT row_id, concat_ws(chr(31), CASE WHEN especie = 'NA' THEN chr(28) || 'NA' ELSE especie END, pais, sexo) AS content FROM occ), "
+        "r AS (SELECT row_id, content, row_number() OVER (PARTITION BY content ORDER BY row_id) AS r, count(*) OVER (PARTITION BY content) AS m FROM c), "
+        "s AS (SELECT content, m, unnest(range(1, m + 6)) AS n FROM (SELECT DISTINCT content, m FROM r)), "
+        f"f AS (SELECT content, n AS number, row_number() OVER (PARTITION BY content ORDER BY n) AS r FROM s WHERE NOT ({_TAKEN} AND n <= m)), "
+        "n AS (SELECT row_id, content, number FROM r JOIN f USING (content, r)), "
+        f"h AS (SELECT row_id, {HASH_SQL} AS h FROM n) SELECT row_id, {UUID_SQL} AS occurrenceID FROM h"
+    ),
+)
+def id_taken_numbers_passed(spark, sf):
+    """New identifiers for all rows while some numbers of each content are taken."""
+    columns = ["especie", "pais", "sexo"]
+    base = occ(spark, sf).select("row_id", *columns)
+    made = I.generate_ids(base, columns).join(base, "row_id")
+    rank = F.row_number().over(Window.partitionBy(*columns).orderBy("row_id"))
+    taken = made.withColumn("n", rank).filter(_TAKEN).select(F.col("occurrenceID").alias("id"))
+    return I.generate_ids(base, columns, taken, hot_rows=50)
+
+
 @query(
     "id_resolved",
     with_occ(
