@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.session import ensure_checkpoint_dir
@@ -24,6 +24,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of intermediate tables that goes when the block ends; what outlives it is `stored` elsewhere."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """`df` written under `label` and read back; a label is used once unless dropped."""
+        df.write.parquet(f"{self.folder}/{label}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{label}")
+
+    def drop(self, label: str = "") -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{label}".rstrip("/"))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+
 def broadcast_within(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """`df` marked for broadcast if its counted `rows` are at most `limit`; else left to a shuffle join."""
     return F.broadcast(df) if rows <= limit else df

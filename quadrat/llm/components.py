@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import stored
+from quadrat.llm.common import Scratch, stored
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -31,13 +31,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder; the rounds end when one changes nothing, after a number that
     grows with the logarithm of the longest chain. Nodes without links are not listed."""
-    now = stored(links.select("u", "v").filter("u <> v").distinct(), "links")
-    mark = None
-    while True:
-        made = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
-        last, mark = mark, now.agg(made.alias("m")).collect()[0]["m"]
-        if mark == last or not mark[0]:
-            break
-        now = stored(_small_star(_large_star(now)), "links")
+    with Scratch(links.sparkSession) as scratch:
+        now, mark, made = scratch.stored(links.select("u", "v").filter("u <> v").distinct(), "0"), None, 0
+        while True:
+            sums = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+            last, mark = mark, now.agg(sums.alias("m")).collect()[0]["m"]
+            if mark == last or not mark[0]:
+                break
+            made += 1
+            now = scratch.stored(_small_star(_large_star(now)), str(made))
+            scratch.drop(str(made - 1))
+        now = stored(now, "components")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

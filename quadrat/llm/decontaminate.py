@@ -159,10 +159,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with their columns as they are."""
+    """The rows of `docs` that are not contaminated, with their columns as they are, whatever their names."""
     bad = contamination(docs, benchmark, window).filter("contaminated").select(
         F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct()
     bad = stored(bad, "contaminated")
-    rows = docs.select("*", F.xxhash64("text").alias("__row_key"))
-    same = rows["doc_id"].eqNullSafe(bad["bad_id"]) & (rows["__row_key"] == bad["bad_key"])
-    return rows.join(broadcast_within(bad, bad.count(), BROADCAST_ROWS), same, "left_anti").drop("__row_key")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    same = rows["own_id"].eqNullSafe(bad["bad_id"]) & (rows["own_key"] == bad["bad_key"])
+    return rows.join(broadcast_within(bad, bad.count(), BROADCAST_ROWS), same, "left_anti").select("row.*")

@@ -34,8 +34,9 @@ SCALE = 2_000_000
 TRIGGER = 24
 OVERLAP = LONGEST - 1
 #: Words counted together before the task hands counts on; it bounds memory, the results do not depend on it.
-AT_ONCE = 1 << 21
-_KNOWN_WORDS = 1 << 20
+AT_ONCE = 3 << 18
+_KNOWN_WORDS = 1 << 17
+_P1 = np.uint64(0x9E3779B97F4A7C15)
 MARK = b"."
 # Bytes that end a piece become line ends, a tab becomes a space, A-Z lower-case.
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -43,7 +44,7 @@ _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcd
 
 def tokens(text: bytes) -> list[bytes]:
     """The lower-cased words of a text, MARK between pieces."""
-    return text.translate(_BYTES).replace(b"\n", b" . ").split(b" ")
+    return text.translate(_BYTES).replace(b"\n", b" . ").split()
 
 
 class _Hashes(dict):
@@ -82,7 +83,7 @@ def chunk_dictionary(docs: DataFrame) -> DataFrame:
         for batch in batches:
             times: dict[tuple[str, bytes, int], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = [w for w in tokens(text.as_buffer().to_pybytes()) if w]
+                words = tokens(text.as_buffer().to_pybytes())
                 hashes = known.setdefault(lang, _Hashes(lang)).of(words)
                 for chunk, places in _cut(words, hashes):
                     key = (lang, chunk, places)
@@ -97,55 +98,51 @@ def chunk_dictionary(docs: DataFrame) -> DataFrame:
 
 
 class _Stream:
-    """Words of many chunks in a row, ready to be counted: hashes, times, and where phrases of any length may start."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, _Hashes] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.size, self.parts, self.langs, self.words = 0, [], [], []
-
-    def add(self, lang: str, chunk: bytes, places: int, times: int, with_words: bool) -> None:
-        words = chunk.split(b" ")
-        words.append(MARK)
-        self.parts.append((self.known.setdefault(lang, _Hashes(lang)).of(words), places, times))
-        self.langs.append((lang, len(words)))
-        if with_words:
-            self.words += words
-        self.size += len(words)
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, times, starts, is a word) of every place."""
-        size = [len(h) for h, _, _ in self.parts]
-        hashes = np.concatenate([h for h, _, _ in self.parts])
-        times = np.repeat(np.array([t for _, _, t in self.parts], np.int64), size)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        inside = np.arange(len(hashes)) - np.repeat(begin, size)
-        starts = inside < np.repeat(np.array([p for _, p, _ in self.parts]), size)
-        marks = [self.known[x][MARK] for x in {lang for lang, _ in self.langs}]
-        return hashes, times, starts, ~np.isin(hashes, np.array(marks, np.uint64))
-
-
-def _phrase_hashes(hashes: np.ndarray, is_word: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of all words but the last, hash of the last, whether all are words) of the phrase at each place."""
-    count = max(0, len(hashes) - length + 1)
-    parts = [hashes[i:i + count] for i in range(length)]
-    whole = np.logical_and.reduce([is_word[i:i + count] for i in range(length)])
-    return xxhash64_of(*parts[:-1]), parts[-1], whole
+    """Words of many chunks in a row: `hash`, `times` of the chunk, whether a phrase `starts` there, `is_word`, `lang`."""
+
+    def __init__(self, parts: list[tuple], words: list[bytes], langs: list[str]) -> None:
+        self.hash, self.times, self.starts, self.is_word, self.lang = (np.concatenate(x) for x in zip(*parts))
+        self.words, self.langs = words, langs
+
+    def phrases(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, whether all are words) of `length` words from each place on."""
+        count = max(0, len(self.hash) - length + 1)
+        named = xxhash64_of(*[self.hash[i:i + count] for i in range(length)])
+        return named, np.logical_and.reduce([self.is_word[i:i + count] for i in range(length)])
 
 
 def _streams(batches: Iterator[pa.RecordBatch], with_words: bool = False) -> Iterator[_Stream]:
-    stream = _Stream()
+    known: dict[str, _Hashes] = {}
+    parts, words, size = [], [], 0
     for batch in batches:
-        lang, _, places, times = (c.to_pylist() for c in batch.columns)
-        for i, chunk in enumerate(batch.column(1)):
-            stream.add(lang[i], chunk.as_buffer().to_pybytes(), places[i], times[i], with_words)
-            if stream.size >= AT_ONCE:
-                yield stream
-                stream.clear()
-    if stream.size:
-        yield stream
+        lang = batch.column(0).dictionary_encode()
+        chunks = batch.column(1).cast(pa.binary()).to_pylist()
+        places, times = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        codes = lang.indices.to_numpy()
+        for code, name in enumerate(lang.dictionary.to_pylist()):
+            rows = np.flatnonzero(codes == code)
+            found = b" . ".join([chunks[i] for i in rows.tolist()]).split(b" ") + [MARK]
+            hashes = known.setdefault(name, _Hashes(name))
+            count = np.array([chunks[i].count(b" ") + 2 for i in rows.tolist()], np.int64)
+            inside = np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count)
+            values = hashes.of(found)
+            parts.append((values, np.repeat(times[rows], count), inside < np.repeat(places[rows], count),
+                          values != np.uint64(hashes[MARK]), np.full(len(found), list(known).index(name), np.int32)))
+            words += found if with_words else ()
+            size += len(found)
+        if size >= AT_ONCE:
+            yield _Stream(parts, words, list(known))
+            parts, words, size = [], [], 0
+    if parts:
+        yield _Stream(parts, words, list(known))
+
+
+def _summed(times: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, each with the sum of its times."""
+    order = np.argsort(keys[0] + sum(k * _P1 for k in keys[1:]) if len(keys) > 1 else keys[0])
+    keys = [k[order] for k in keys]
+    new = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))))
+    return *[k[new] for k in keys], np.add.reduceat(times[order], new)
 
 
 def _counted(dictionary: DataFrame, length: int, shorter: bytes, least: int) -> DataFrame:
@@ -155,19 +152,13 @@ def _counted(dictionary: DataFrame, length: int, shorter: bytes, least: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stream in _streams(batches):
-            hashes, times, starts, is_word = stream.arrays()
-            head, last, good = _phrase_hashes(hashes, is_word, length)
-            good = good & starts[:len(good)]
-            tail = xxhash64_of(*[hashes[i:i + len(good)] for i in range(1, length)])
-            good &= is_listed(shorter, head) & is_listed(shorter, tail)
-            at = np.flatnonzero(good)
-            head, last, times = head[at], last[at], times[at]
-            order = np.argsort(xxhash64_of(head, last), kind="stable")
-            head, last, times = head[order], last[order], times[order]
-            new = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (last[1:] != last[:-1])))) if len(at) else at
-            if len(new):
-                yield pa.record_batch([pa.array(head[new].view(np.int64)), pa.array(last[new].view(np.int64)),
-                                       pa.array(np.add.reduceat(times, new))], ["head", "last", "f"])
+            head, good = stream.phrases(length - 1)
+            good &= is_listed(shorter, head)
+            at = np.flatnonzero(good[:-1] & good[1:] & stream.starts[:len(good) - 1])
+            if len(at):
+                first, last, f = _summed(stream.times[at], head[at], stream.hash[at + length - 1])
+                yield pa.record_batch([pa.array(first.view(np.int64)), pa.array(last.view(np.int64)), pa.array(f)],
+                                      ["head", "last", "f"])
 
     rows = dictionary.mapInArrow(count, "head long, last long, f long")
     return rows.groupBy("head", "last").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
@@ -178,15 +169,11 @@ def _words_counted(dictionary: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stream in _streams(batches):
-            hashes, times, starts, is_word = stream.arrays()
-            names = np.repeat(np.arange(len(stream.langs)), [n for _, n in stream.langs])
-            at = np.flatnonzero(starts & is_word)
-            at = at[np.argsort(hashes[at], kind="stable")]
+            at = np.flatnonzero(stream.starts & stream.is_word)
             if len(at):
-                new = np.flatnonzero(np.concatenate(([True], hashes[at][1:] != hashes[at][:-1])))
-                lang = pa.array([x for x, _ in stream.langs]).take(pa.array(names[at[new]]))
-                yield pa.record_batch([lang, pa.array(hashes[at[new]].view(np.int64)),
-                                       pa.array(np.add.reduceat(times[at], new))], ["lang", "w", "f"])
+                word, lang, f = _summed(stream.times[at], stream.hash[at], stream.lang[at].astype(np.uint64))
+                names = pa.array(stream.langs).take(pa.array(lang.astype(np.int64)))
+                yield pa.record_batch([names, pa.array(word.view(np.int64)), pa.array(f)], ["lang", "w", "f"])
 
     rows = dictionary.mapInArrow(count, "lang string, w long, f long")
     return rows.groupBy("lang", "w").agg(F.sum("f").alias("f"))
@@ -240,12 +227,10 @@ def _texts(dictionary: DataFrame, listed: DataFrame, longest: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stream in _streams(batches, with_words=True):
-            hashes, _, starts, is_word = stream.arrays()
             texts: dict[int, bytes] = {}
             for length in range(2, longest + 1):
-                head, last, good = _phrase_hashes(hashes, is_word, length)
-                name = xxhash64_of(*[hashes[i:i + len(good)] for i in range(length)])
-                good = good & starts[:len(good)] & is_listed(table, name)
+                name, good = stream.phrases(length)
+                good &= stream.starts[:len(good)] & is_listed(table, name)
                 for i in np.flatnonzero(good).tolist():
                     texts.setdefault(int(name[i].view(np.int64)), b" ".join(stream.words[i:i + length]))
             yield pa.record_batch([pa.array(list(texts), pa.int64()), pa.array(texts.values(), pa.binary()).cast(pa.string())],
@@ -273,7 +258,8 @@ def collocations(docs: DataFrame, listed: int = LISTED, least: int = LEAST, perc
     first = kept.withColumn("place", F.rank().over(best)).filter(F.col("place") <= listed).drop("place")
     name = F.coalesce(*[F.when(F.size("ws") == length, _name(length)) for length in range(2, longest + 1)])
     first = stored(first.withColumn("h", name), "first-phrases")
-    named = first.join(_texts(dictionary, first, longest), "h").join(sizes, "lang")
+    texts = stored(_texts(dictionary, first, longest), "phrase-texts")
+    named = first.join(texts, "h").join(sizes, "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     named = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= listed)
     return named.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n",

@@ -289,8 +289,9 @@ def span_text(spans: str) -> Column:
 def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """`docs` with every span of `text` replaced by its kind in brackets and n_chars, if there, counted anew.
 
-    Overlapping spans become one, named after the first."""
-    found = find_spans(docs, model)
+    The other columns pass through as they are, whatever their names. Overlapping spans become one, named after the first."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = find_spans(rows, model or fit(docs))
     name = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
 
     def step(a: Column, x: Column) -> Column:
@@ -302,9 +303,8 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     done = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")), step,
                        lambda a: F.concat(a["out"], F.substring("text", a["upto"] + 1, F.char_length("text"))))
     changed = F.size("spans") > 0
-    text = F.when(changed, done).otherwise(F.col("text"))
-    kept = found.withColumn("text", text)
+    row = F.col("row").withField("text", F.when(changed, done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        kept = kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = row.withField("n_chars", F.when(changed, F.char_length(done).cast(kind)).otherwise(F.col("row.n_chars")))
+    return found.select(row.alias("row")).select("row.*")

@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quadrat.llm.common import bit_table, is_listed, split_words, stored, xxhash64_of
+from quadrat.llm.common import bit_table, broadcast_within, is_listed, split_words, stored, xxhash64_of
 
 WINDOW = 50
 SHINGLE = 8
 #: Windows of one text that are looked at together; it bounds memory, the results do not depend on it.
 STEP = 1 << 20
-_KNOWN_WORDS = 1 << 20
+#: Anchors with several blocks that are broadcast at most; beyond it the same join is shuffled.
+BROADCAST_ROWS = 1 << 19
+_KNOWN_WORDS = 1 << 17
 _PLACE_BITS = 21
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -42,19 +44,17 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-class WordHashes:
+class WordHashes(dict):
     """Hashes of words, each computed once; forgets all when it holds many."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _KNOWN_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > _KNOWN_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def _windows(words: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,50 +75,100 @@ def _windows(words: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray,
     return spans(window), spans(shingle)
 
 
-def blocks_of(words: np.ndarray, window: int = WINDOW, shingle: int = SHINGLE) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor, block, start, count, windows) of a text: arrays with an entry per block, windows one after another."""
-    offsets = np.random.default_rng(7).integers(0, 1 << 63, window, np.int64).view(np.uint64) | np.uint64(1)
-    per = window - shingle + 1
+Piece = tuple[int, int, np.ndarray]
+
+
+def pieces_of(words: np.ndarray, row: int, window: int) -> Iterator[Piece]:
+    """(row, first word, word hashes) of a text: the whole text, or overlapping parts with STEP windows each."""
     for first in range(0, len(words) - window + 1, STEP):
-        part = words[first:first + STEP + window - 1]
-        hashes, shingles = _windows(part, window, shingle)
-        mask = np.uint64((1 << _PLACE_BITS) - 1)
-        least = (shingles & ~mask) | (mask - np.arange(len(shingles), dtype=np.uint64))
-        width, left = 1, per - 1
-        while left:  # the least of `per` shingles in a row
-            step = min(width, left)
-            least, width, left = np.minimum(least[:-step], least[step:]), width + step, left - step
-        at = (mask - (least & mask)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        places = np.arange(len(hashes))
-        block = np.add.reduceat(hashes * offsets[at - places], starts)
-        count = np.diff(starts, append=len(hashes))
-        yield shingles[at[starts]], block ^ (block >> np.uint64(32)), starts + first, count, hashes
-
-
-def _parsed(docs: DataFrame, window: int, shingle: int, wanted: bytes | None) -> DataFrame:
-    """The blocks of all rows; of those in the bit table `wanted` with their windows, if it is given."""
-    fields = [StructField(c, LongType()) for c in ("doc_id", "row_key", "start", "count", "anchor", "block")]
-    schema = StructType(fields + ([StructField("windows", ArrayType(LongType()))] if wanted else []))
-    names = [f.name for f in schema]
+        yield row, first, words[first:first + STEP + window - 1]
+
+
+def blocks_of(pieces: list[Piece], window: int, shingle: int) -> tuple[np.ndarray, ...]:
+    """(row, start, count, anchor, block, windows): arrays with an entry per block, the windows one after another."""
+    sizes = np.array([len(w) for _, _, w in pieces])
+    words = np.concatenate([w for _, _, w in pieces])
+    hashes, shingles = _windows(words, window, shingle)
+    piece = np.repeat(np.arange(len(pieces)), sizes)[:len(hashes)]
+    inside = np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[piece]
+    mask = np.uint64((1 << _PLACE_BITS) - 1)
+    least = (shingles & ~mask) | (mask - np.arange(len(shingles), dtype=np.uint64))
+    width, left = 1, window - shingle
+    while left:  # the least of all shingles in a window, the last of equal ones
+        step = min(width, left)
+        least, width, left = np.minimum(least[:-step], least[step:]), width + step, left - step
+    at = (mask - (least & mask)).astype(np.int64)
+    within = np.flatnonzero(inside <= (sizes - window)[piece])
+    at, piece, inside, hashes = at[within], piece[within], inside[within], hashes[within]
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (piece[1:] != piece[:-1]))))
+    offsets = np.random.default_rng(7).integers(0, 1 << 63, window, np.int64).view(np.uint64) | np.uint64(1)
+    block = np.add.reduceat(hashes * offsets[at - within], new)
+    rows, firsts = (np.array([p[i] for p in pieces], np.int64)[piece[new]] for i in range(2))
+    return (rows, inside[new] + firsts, np.diff(new, append=len(hashes)), shingles[at[new]],
+            block ^ (block >> np.uint64(32)), hashes)
+
+
+def _batched(batch: pa.RecordBatch, known: WordHashes, window: int) -> Iterator[list[Piece]]:
+    """The pieces of all texts of a batch, as many together as STEP words allow."""
+    held, size = [], 0
+    for row, text in enumerate(batch.column(2)):
+        for piece in pieces_of(known.of(text.as_buffer().to_pybytes().split()), row, window):
+            if held and size + len(piece[2]) > STEP + window:
+                yield held
+                held, size = [], 0
+            held.append(piece)
+            size += len(piece[2])
+    if held:
+        yield held
+
+
+FIELDS = [StructField(c, LongType()) for c in ("doc_id", "row_key", "start", "count", "anchor", "block")]
+
+
+def _parsed(docs: DataFrame, window: int, shingle: int) -> DataFrame:
+    """The blocks of all rows (doc_id, row_key, text)."""
+    schema = StructType(FIELDS)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            ids, keys = (batch.column(i).to_numpy() for i in range(2))
+            for pieces in _batched(batch, known, window):
+                row, start, count, anchor, block, _ = blocks_of(pieces, window, shingle)
+                yield pa.record_batch([pa.array(x) for x in (
+                    ids[row], keys[row], start, count, anchor.view(np.int64), block.view(np.int64))], schema.names)
+
+    return docs.mapInArrow(parse, schema)
+
+
+def _boundaries(docs: DataFrame, wanted: bytes, window: int, shingle: int) -> DataFrame:
+    """(doc_id, row_key, anchor, starts, windows) of the blocks in the bit table `wanted`, once per text."""
+    lists = [StructField(c, ArrayType(LongType())) for c in ("starts", "windows")]
+    schema = StructType([FIELDS[0], FIELDS[1], FIELDS[4], *lists])
+
+    def listed(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy() for i in range(2))
-            for row, text in enumerate(batch.column(2)):
-                words = known.of(text.as_buffer().to_pybytes().split()) if text.is_valid else ()
-                for anchor, block, start, count, hashes in blocks_of(words, window, shingle) if len(words) >= window else ():
-                    doc, key = (np.full(len(start), x[row], np.int64) for x in (ids, keys))
-                    columns = [doc, key, start, count, anchor.view(np.int64), block.view(np.int64)]
-                    if wanted:
-                        keep = is_listed(wanted, xxhash64_of(anchor, block, doc.view(np.uint64)))
-                        values = hashes[np.repeat(keep, count)].view(np.int64)
-                        columns = [c[keep] for c in columns]
-                        ends = np.concatenate(([0], np.cumsum(columns[3]))).astype(np.int32)
-                        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
-                    if len(columns[0]):
-                        yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+            for pieces in _batched(batch, known, window):
+                row, start, count, anchor, block, hashes = blocks_of(pieces, window, shingle)
+                keep = np.flatnonzero(is_listed(wanted, xxhash64_of(anchor, block, ids[row])))
+                if not len(keep):
+                    continue
+                order = keep[np.lexsort((start[keep], block[keep], anchor[keep], row[keep]))]
+                same = [(x[order][1:] == x[order][:-1]) for x in (row, anchor, block)]
+                new = np.flatnonzero(np.concatenate(([True], ~np.logical_and.reduce(same))))
+                one = order[new]
+                begin = (np.cumsum(count) - count)[one]
+                at = np.arange(count[one].sum()) - np.repeat(np.cumsum(count[one]) - count[one] - begin, count[one])
+                yield pa.record_batch([
+                    pa.array(ids[row[one]]), pa.array(keys[row[one]]), pa.array(anchor[one].view(np.int64)),
+                    listed(start[order], np.diff(new, append=len(order))), listed(hashes[at].view(np.int64), count[one]),
+                ], schema.names)
 
     return docs.mapInArrow(parse, schema)
 
@@ -142,18 +192,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
     `spans` are (start, end) in words, end exclusive, in order and apart. `row_key` is the hash of the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    blocks = stored(_parsed(rows, window, shingle, None), "reference-blocks")
+    blocks = stored(_parsed(rows, window, shingle), "reference-blocks")
     index = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     index = stored(index, "reference-index")
     whole = blocks.join(index.filter("first < last"), ["anchor", "block"]).filter(F.col("doc_id") > F.col("first"))
     whole = whole.select("doc_id", "row_key", "start", (F.col("start") + F.col("count") + window - 1).alias("end"))
 
-    several = index.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    holders = index.join(several, "anchor").select(F.xxhash64("anchor", "block", "first").alias("h"))
-    edges = stored(_parsed(rows, window, shingle, bit_table(holders, "h")), "boundary-windows")
-    at = edges.select("doc_id", "row_key", "anchor", "start", F.posexplode("windows").alias("i", "w"))
+    several = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("f"), F.max("last").alias("l"))
+    several = stored(several.filter("n > 1 AND f < l").select("anchor"), "shared-anchors")
+    holders = index.join(broadcast_within(several, several.count(), BROADCAST_ROWS), "anchor")
+    wanted = bit_table(holders.select(F.xxhash64("anchor", "block", "first").alias("h")), "h")
+    edges = stored(_boundaries(rows, wanted, window, shingle), "boundary-windows")
+    at = edges.select("doc_id", "row_key", "anchor", "starts", F.posexplode("windows").alias("i", "w"))
     first = at.groupBy("anchor", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     part = at.join(first.filter("first < last"), ["anchor", "w"]).filter(F.col("doc_id") > F.col("first"))
+    part = part.select("doc_id", "row_key", F.col("i"), F.explode("starts").alias("start"))
     part = part.select("doc_id", "row_key", (F.col("start") + F.col("i")).alias("start"),
                        (F.col("start") + F.col("i") + window).alias("end"))
     factors = whole.unionAll(part).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("s"))

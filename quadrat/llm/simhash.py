@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quadrat.llm.common import stored
+from quadrat.llm.common import broadcast_within, stored
 from quadrat.llm.components import components
 
 BITS = 64
@@ -117,23 +117,27 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """`docs` with one row of each component: that with the least doc_id, then the least text hash.
 
-    Rows with equal ids and texts count as copies. Columns pass through as they are."""
+    Rows with equal ids and texts count as copies. Columns pass through as they are, whatever their names."""
     return keep_first(docs, stored(near_duplicates(docs, distance), "near-duplicates"))
 
 
+#: Rows to leave out that are broadcast at most; beyond it the same join is shuffled.
+BROADCAST_ROWS = 200_000
+
+
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """`docs` with one row of each `root` of `found` (doc_id, row_key, root): the least doc_id, then row_key."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("f")
-    kept = found.groupBy("root").agg(first).select(
-        F.col("f.doc_id").alias("keep_id"), F.col("f.row_key").alias("keep_key"))
-    rows = docs.select("*", F.xxhash64("text").alias("__key"))
-    on = rows["doc_id"].eqNullSafe(kept["keep_id"]) & (rows["__key"] == kept["keep_key"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    stay = rows.join(kept, on, "left_semi")
+    kept = found.groupBy("root").agg(first).select(F.col("f.doc_id").alias("keep_id"), F.col("f.row_key").alias("keep_key"))
+    own = found.select("doc_id", "row_key").distinct()
+    lost = own.join(kept, own["doc_id"].eqNullSafe(kept["keep_id"]) & (own["row_key"] == kept["keep_key"]), "left_anti")
+    lost = stored(lost, "lost-rows")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    on = rows["own_id"].eqNullSafe(lost["doc_id"]) & (rows["own_key"] == lost["row_key"])
+    stay = rows.join(broadcast_within(lost, lost.count(), BROADCAST_ROWS), on, "left_anti")
     if _any_twice(found):
-        whole = F.first(F.struct(*names)).alias("row")
-        return stay.groupBy(F.col("doc_id").alias("__id"), "__key").agg(whole).select("row.*")
-    return stay.select(*names)
+        stay = stay.groupBy("own_id", "own_key").agg(F.first("row").alias("row"))
+    return stay.select("row.*")
 
 
 def _any_twice(found: DataFrame) -> bool:
