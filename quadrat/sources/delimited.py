@@ -1,13 +1,15 @@
 """Delimited text: every column stays text, odd bytes and odd headers are repaired.
 
-Only the header (a bounded peek) reaches the driver. Lines are decoded and cells cleaned inside Spark."""
+Only the header record and one row of counts reach the driver. A file of any size is read in byte ranges: the quotes
+of each range tell in which state the next one starts, so records that hold line breaks, also across ranges, stay
+whole, and every record has the number it has in its file, however the file was split."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.dates import fold_header
@@ -85,18 +87,26 @@ def is_code_header(name: str) -> bool:
     return any(w in CODE_WORDS for w in fold_header(name))
 
 
-def decode_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines as the text source reads them (raw bytes) to text: UTF-8 where valid, else the code page the
-    file's bytes vote for. Adds `encoding`. A NUL byte is an error."""
-    latin = F.decode(F.col(column).cast("binary"), "ISO-8859-1")
-    checked = lines.withColumn("__ok", F.is_valid_utf8(column)).withColumn("__latin", F.when(~F.col("__ok"), latin))
+def _latin(column: str) -> Column:
+    return F.decode(F.col(column).cast("binary"), "ISO-8859-1")
+
+
+def dos_vote(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One row `dos`: whether the lines that are no UTF-8 speak for a DOS code page, by all their bytes."""
+    odd = lines.filter(~F.is_valid_utf8(column)).select(_latin(column).alias("l"))
 
     def hits(codes: tuple[int, ...]) -> Column:
-        chars = "".join(chr(c) for c in codes)
-        return F.sum(F.length("__latin") - F.length(F.translate(F.col("__latin"), chars, ""))).alias("n")
+        return F.sum(F.length("l") - F.length(F.translate(F.col("l"), "".join(chr(c) for c in codes), "")))
+
+    return odd.agg(F.coalesce(hits(DOS_BYTES) > hits(WINDOWS_BYTES), F.lit(False)).alias("dos"))
 
-    dos, windows = checked.agg(hits(DOS_BYTES)).scalar(), checked.agg(hits(WINDOWS_BYTES)).scalar()
-    is_dos = F.coalesce(dos > windows, F.lit(False))
+
+def decode_lines(lines: DataFrame, column: str = "value", dos: Column | None = None) -> DataFrame:
+    """Lines as the text source reads them (raw bytes) to text: UTF-8 where valid, else the code page the
+    file's bytes vote for. Adds `encoding`. A NUL byte is an error."""
+    is_dos = dos_vote(lines, column).scalar() if dos is None else dos
+    checked = lines.withColumn("__ok", F.is_valid_utf8(column))
+    checked = checked.withColumn("__latin", F.when(~F.col("__ok"), _latin(column)))
     text = (
         F.when(F.col(column).contains("\u0000"), F.raise_error(F.lit("the file has NUL bytes; save it as UTF-8 text")))
         .when(F.col("__ok"), F.col(column))
@@ -175,47 +185,99 @@ def row_report(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_if(n == 0).alias("empty_rows"), footer.alias("footer_rows"))
 
 
-def peek_header(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """Header record and whether a `sep=` line precedes it, from the first 50 lines."""
-    lines = [r[0] for r in decode_lines(spark.read.text(path).limit(51)).select("value").collect()]
-    sep = bool(lines) and bool(re.fullmatch("sep=.", lines[0]))
-    quotes, record = 0, []
-    for line in lines[1 if sep else 0:]:
-        record.append(line)
-        quotes += line.count('"')
+# Byte order marks and the encodings they announce.
+MARKS = {b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}
+
+
+def raw_lines(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """(value, file, block, at) of every line, and the UTF-16 encoding a byte order mark announces.
+
+    `block` is where the byte range of the line starts in its file, `at` grows with the lines of one range. UTF-16 text is
+    decoded here; all other lines keep their bytes."""
+    first = spark.read.text(path).select(F.col("value").cast("binary").alias("b")).limit(1).collect()
+    charset = MARKS.get(bytes(first[0]["b"][:2])) if first else None
+    reader = spark.read.option("encoding", charset).option("lineSep", "\n") if charset else spark.read
+    lines = reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    if charset:
+        text = F.regexp_replace(F.decode(F.col("value").cast("binary"), charset), "^\uFEFF|\r$", "")
+        lines = lines.withColumn("value", F.explode(F.split(text, "\r"))).withColumn("at", F.monotonically_increasing_id())
+    return lines, charset
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """(file, number, value): the records of each file from 0 on, lines inside quotes joined by a line feed.
+
+    A line starts a record if the quotes before it are even in number. Their number inside a byte range is counted for
+    both cases; a prefix sum over the ranges, one small row each, then tells which case holds. Only lines of records
+    that are longer than one line are brought together."""
+    quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    own = Window.partitionBy("file", "block").orderBy("at")
+    before = F.coalesce(F.sum("quotes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.withColumn("quotes", quotes).withColumn("odd", before % 2)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumns({f"starts_{k}": F.sum((F.col("odd") == k).cast("long")).over(upto) for k in (0, 1)})
+    ranges = marked.groupBy("file", "block").agg(
+        F.sum("quotes").alias("q"), F.max("starts_0").alias("s0"), F.max("starts_1").alias("s1"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("inside", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2)
+    ranges = ranges.withColumn("starts", F.when(F.col("inside") == 0, F.col("s0")).otherwise(F.col("s1")))
+    ranges = ranges.select("file", "block", "inside", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("offset"))
+    placed = marked.join(ranges, ["file", "block"])
+    count = F.when(F.col("inside") == 0, F.col("starts_0")).otherwise(F.col("starts_1"))
+    placed = placed.select("file", "block", "at", "value", (F.col("offset") + count - 1).alias("number"), (
+        (F.col("odd") == F.col("inside")) & (F.col("quotes") % 2 == 0)).alias("alone"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    joined = placed.filter(~F.col("alone")).groupBy("file", "number").agg(parts.alias("p"))
+    joined = joined.select("file", "number", F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"))
+    return placed.filter("alone").select("file", "number", "value").unionByName(joined)
+
+
+def peek_header(lines: DataFrame) -> tuple[str, bool]:
+    """Header record and whether a `sep=` line precedes it, read until the quotes of the record close."""
+    first = lines.agg(F.min("file")).first()[0]
+    head = lines.filter((F.col("file") == first) & (F.col("block") == 0)).select("value")
+    sep, quotes, record = "", 0, []
+    for i, row in enumerate(head.toLocalIterator()):
+        if i == 0 and re.fullmatch("sep=.", row["value"]):
+            sep = row["value"][4] + "\n"
+            continue
+        record.append(row["value"])
+        quotes += row["value"].count('"')
         if quotes % 2 == 0:
             break
-    return (lines[0][4] + "\n" if sep else "") + "\n".join(record), sep
+    return sep + "\n".join(record), bool(sep)
 
 
 def read_delimited(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, ReadReport]:
     """All-text table with `row_id`, plus what the header says.
 
-    A file that is valid UTF-8 is read by the CSV source as it is, so quoted line breaks survive. Other
-    code pages are decoded line by line and parsed from the decoded lines."""
-    head, sep = peek_header(spark, path)
-    delimiter, record = (head[0], head[2:]) if sep else (pick_delimiter(head), head)
+    `row_id` is the number of the record in its file, files in order of their paths; it does not depend on how they
+    were split. Every file may start with its own header. Blank lines are no records."""
     import csv
     import io
 
+    raw, charset = raw_lines(spark, path)
+    dos = bool(dos_vote(raw).first()["dos"])
+    decoded = decode_lines(raw, dos=F.lit(dos))
+    head, sep = peek_header(decoded)
+    delimiter, record = (head[0], head[2:]) if sep else (pick_delimiter(head), head)
     first = next(csv.reader(io.StringIO(record), delimiter=delimiter), [])
     names = repair_headers(first) if header else [f"col_{i}" for i in range(1, len(first) + 1)]
-    raw = spark.read.text(path)
-    decoded = decode_lines(raw)
-    kinds = {r["encoding"]: r["count"] for r in decoded.groupBy("encoding").count().collect()}
+    kinds = {charset or r["encoding"]: r["count"] for r in decoded.groupBy("encoding").count().collect()}
     report = ReadReport(delimiter, sep, names, header_is_data(first), kinds)
     schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": ""}
-    if set(kinds) <= {"UTF-8"} and not sep:
-        table = spark.read.csv(path, schema=schema, header=header, multiLine=True, encoding="UTF-8", **options)
-    else:
-        skip = int(header) + int(sep)
-        body = decoded.withColumn("__at", F.monotonically_increasing_id())
-        lead = [r[0] for r in body.orderBy("__at").limit(skip).select("__at").collect()] if skip else []
-        kept = body.filter(~F.col("__at").isin(*lead)) if lead else body
-        parsed = kept.select(F.from_csv("value", F.lit(schema), options).alias("r"))
-        table = parsed.select("r.*")
-    return table.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", *[F.col(f"`{n}`") for n in names]), report
+    skip = int(header) + int(sep)
+    records = whole_records(decoded.drop("encoding")).filter((F.col("number") >= skip) & (F.col("value") != ""))
+    sizes = records.groupBy("file").agg((F.max("number") + 1 - skip).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = records.join(starts, "file")
+    row_id = (F.col("before") + F.col("number") - skip).alias("row_id")
+    parsed = placed.select(row_id, F.from_csv("value", F.lit(schema), options).alias("r"))
+    return parsed.select("row_id", *[F.col(f"r.`{n}`") for n in names]), report
 
 
 def tidy_upload(df: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadrat.plans import publish as X
+from quadrat.session import ensure_checkpoint_dir
 from quadrat.sources import camtrap as C
 from quadrat.sources import delimited as D
 from quadrat.sources import lists as L
@@ -29,6 +32,19 @@ def text_na_codes_emptied(spark, sf):
     return D.emptied_codes(cells)
 
 
+@query(
+    "text_records_read_back",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '') AS text FROM documents",
+)
+def text_records_read_back(spark, sf):
+    """Whole documents, line breaks and quotes among them, written as quoted text and read record by record."""
+    folder = f"{ensure_checkpoint_dir(spark)}/delimited-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.csv(folder, **options)
+    return D.read_delimited(spark, folder)[0].select("doc_id", "text")
+
+
 @query("text_lines_decoded", "SELECT doc_id, text AS value, 'UTF-8' AS encoding FROM documents")
 def text_lines_decoded(spark, sf):
     """Whole documents through the line decoder."""
