@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quadrat.functions import coords as C
 from quadrat.functions import dates as D
 from quadrat.functions import numbers as M
-from quadrat.functions.text import is_blank, text
+from quadrat.functions.text import any_of, is_blank, text
 from quadrat.lookups import PUBLICATION_TERMS
 from quadrat.operators import quality as P
 from quadrat.operators import vocabularies as V
+from quadrat.operators.numbering import HOT_ROWS, number_within
 
 GOLDEN = 0.6180339887
 MAP_LIMIT = 20000
@@ -44,11 +45,28 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(columns))])).alias("p")).select("p.*")
 
 
-def sample_values(df: DataFrame, column: str, fraction: float, seed: int = 7) -> DataFrame:
-    """Content-seeded share of the filled values: the same cells are picked whatever the partitioning."""
-    filled = df.filter(~is_blank(column))
-    bucket = F.pmod(F.xxhash64(F.col(column), F.col("row_id"), F.lit(seed)), F.lit(1_000_000))
-    return filled.filter(bucket < int(fraction * 1_000_000))
+#: Values a column is judged by, by how well its name fits. Fixed values.
+SAMPLE_TIERS = ((0.90, 1000), (0.75, 500), (0.0, 200))
+
+
+def sample_values(df: DataFrame, scores: DataFrame, row_id: str = "row_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(column, row_id, value): an even sample of the filled values of each column in `scores` (column, name_score).
+
+    A column with no more filled values than its tier allows keeps all of them. Of more, the sample takes those at even
+    distances, first and last among them, in the order of the rows: which cells are taken depends on the
+    data alone. Columns are numbered slice by slice, so none is sorted in one task."""
+    names = [c for c in df.columns if c != row_id]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), text(F.col(f"`{c}`")).alias("value")) for c in names])
+    filled = df.select(row_id, F.explode(cells).alias("c")).select(row_id, "c.column", "c.value").filter("value <> ''")
+    wanted = F.lit(SAMPLE_TIERS[-1][1])
+    for least, n in reversed(SAMPLE_TIERS[:-1]):
+        wanted = F.when(F.col("name_score") >= least, n).otherwise(wanted)
+    sizes = filled.groupBy("column").agg(F.count("*").alias("n")).join(scores.select("column", wanted.alias("t")), "column")
+    numbered = number_within(filled, ["column"], "i", row_id, hot_rows).join(F.broadcast(sizes), "column")
+    step = (F.col("n") - 1) / (F.col("t") - 1)
+    near = F.floor((F.col("i") - 1) / step)
+    even = any_of([F.rint(1 + (near + k) * step) == F.col("i") for k in (-1, 0, 1, 2)])
+    return numbered.filter((F.col("n") <= F.col("t")) | even).select("column", row_id, "value")
 
 
 def dataset_extents(df: DataFrame, today: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.text import FOLD_FROM, FOLD_TO, any_of, is_blank, match_form
 from quadrat.lookups import core_terms
 from quadrat.operators.numbering import first_per_key, last_per_key
+from quadrat.session import ensure_checkpoint_dir
 
 # Terms with special rules.
 MANUAL_TERMS = ("modified", "license", "language")
@@ -248,7 +249,7 @@ def override_with_aliases(decisions: DataFrame, profile: DataFrame, aliases: Dat
     hits = hits.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(options.suggest), F.col("confidence"))))
     best = last_per_key(hits.drop("header"), ["dataset", "term"], [F.col("confidence"), F.col("column")])
     side = best.select("dataset", "term", F.col("column").alias("__c"), F.col("confidence").alias("__s"), F.col("completeness").alias("__f"))
-    joined = decisions.join(side, ["dataset", "term"], "left")
+    joined = _with_every_term(decisions, side)
     take = F.col("__c").isNotNull() & ~(F.col("applied") & much_fuller(F.col("completeness"), F.col("__f")))
     return _overridden(joined, F.coalesce(take, F.lit(False)), "ALIAS", "known_synonym").drop("__c", "__s", "__f")
 
@@ -259,10 +260,15 @@ def override_with_template(decisions: DataFrame, profile: DataFrame, template: D
     hits = profile.select("dataset", "column").join(items, "column")
     best = first_per_key(hits, ["dataset", "term"], [F.col("priority"), F.col("at"), F.col("column")])
     side = best.select("dataset", "term", F.col("column").alias("__c"), F.lit(1.0).alias("__s"))
-    joined = decisions.join(side, ["dataset", "term"], "left")
+    joined = _with_every_term(decisions, side)
     return _overridden(joined, F.col("__c").isNotNull(), "TEMPLATE", "template").drop("__c", "__s")
 
 
+def _with_every_term(decisions: DataFrame, side: DataFrame) -> DataFrame:
+    """Decisions and what overrides them; a term no header was a candidate for starts as not applied."""
+    return decisions.join(side, ["dataset", "term"], "full_outer").withColumn("applied", F.coalesce("applied", F.lit(False)))
+
+
 def _overridden(joined: DataFrame, take: Column, status: str, reason: str) -> DataFrame:
     return joined.withColumns({
         "column": F.when(take, F.col("__c")).otherwise(F.col("column")), "final_score": F.when(take, F.col("__s")).otherwise(F.col("final_score")),
@@ -287,6 +293,62 @@ def verbatim_fallback(decisions: DataFrame, options: Options = Options()) -> Dat
     return free.select("dataset", F.col("target").alias("term"), "column", score.alias("final_score"))
 
 
+def loser_fallback(decisions: DataFrame, options: Options = Options()) -> DataFrame:
+    """(dataset, term, column, final_score): free verbatim terms that take a column a primary term lost to another.
+
+    Of several losers for one verbatim term the best scored wins, then the first by term and column."""
+    target = F.try_element_at(F.create_map(*[F.lit(x) for kv in VERBATIM_OF.items() for x in kv]), F.col("term"))
+    lost = decisions.filter((F.col("reason") == "conflict_lost") & (F.col("final_score") >= options.suggest))
+    lost = lost.select("dataset", target.alias("target"), "term", F.col("candidate").alias("column"), "final_score").filter("target IS NOT NULL")
+    taken = decisions.filter("applied").select("dataset", F.col("term").alias("target"))
+    free = lost.join(taken, ["dataset", "target"], "left_anti")
+    best = first_per_key(free, ["dataset", "target"], [-F.col("final_score"), F.col("term"), F.col("column")])
+    return best.select("dataset", F.col("target").alias("term"), "column", F.least(F.lit(1.0), "final_score").alias("final_score"))
+
+
+def one_term_per_column(decisions: DataFrame) -> DataFrame:
+    """Overrides may give one column to several terms: template before alias before score, then the term name, keeps it."""
+    rank = F.when(F.col("status") == "TEMPLATE", 0).when(F.col("status") == "ALIAS", 1).otherwise(2)
+    order = Window.partitionBy("dataset", "column").orderBy(rank, F.desc("final_score"), "term")
+    claimed = decisions.filter("applied").withColumn("claim", F.row_number().over(order))
+    lost = F.coalesce(F.col("claim") > 1, F.lit(False))
+    side = claimed.select("dataset", "term", "claim")
+    joined = decisions.join(side, ["dataset", "term"], "left")
+    return joined.withColumns({
+        "candidate": F.when(lost, F.col("column")).otherwise(F.col("candidate")), "applied": F.col("applied") & ~lost,
+        "column": F.when(~lost, F.col("column")), "status": F.when(lost, "MANUAL").otherwise(F.col("status")),
+        "reason": F.when(lost, "conflict_lost").otherwise(F.col("reason")),
+    }).drop("claim")
+
+
+def map_catalogue(
+    profile: DataFrame, synonyms: DataFrame | None = None, aliases: DataFrame | None = None, template: DataFrame | None = None,
+    options: Options = Options(),
+) -> DataFrame:
+    """(dataset, term, column, final_score, status, reason): the mapping of every dataset of a catalogue.
+
+    Scored and decided, then learned aliases, then the template, one term per column again, then verbatim terms from
+    losers and from primary terms. A decision that breaks the contract is an error. Header rows are written twice on
+    the way, so that no branch scores them again."""
+    ensure_checkpoint_dir(profile.sparkSession)
+    decisions = decide(candidates(profile, synonyms, options=options), options).checkpoint()
+    if aliases is not None:
+        decisions = override_with_aliases(decisions, profile, aliases, options)
+    if template is not None:
+        decisions = override_with_template(decisions, profile, template)
+    decisions = one_term_per_column(decisions).checkpoint()
+    bad = check_decisions(decisions).agg(F.count("*").alias("n")).scalar()
+    columns = ["dataset", "term", "column", "final_score", "status", "reason"]
+    kept = decisions.filter("applied").select(*columns)
+    losers = loser_fallback(decisions, options).select(
+        "dataset", "term", "column", "final_score", F.lit("SUGGESTED").alias("status"), F.lit("fallback_verbatim_from_loser").alias("reason"))
+    primary = verbatim_fallback(decisions, options).join(losers.select("dataset", "term"), ["dataset", "term"], "left_anti").select(
+        "dataset", "term", "column", "final_score", F.lit("SUGGESTED").alias("status"), F.lit("fallback_verbatim_from_primary").alias("reason"))
+    whole = kept.unionByName(losers).unionByName(primary)
+    broken = F.raise_error(F.lit("decisions break the contract"))
+    return whole.withColumn("status", F.when(bad > 0, broken).otherwise(F.col("status")))
+
+
 def check_decisions(decisions: DataFrame) -> DataFrame:
     """Rows that break the contract: unknown status, score out of range, applied without a column."""
     known = F.col("status").isin("AUTO", "SUGGESTED", "AMBIGUOUS", "MANUAL", "ALIAS", "TEMPLATE", "EDITED")
@@ -328,6 +390,27 @@ def undo_run(aliases: DataFrame, events: DataFrame, run_id: str) -> DataFrame:
     return joined.withColumn("active", F.when(F.col("event").isNotNull(), F.col("was_active")).otherwise(F.col("active"))).drop("event", "was_active")
 
 
+def alias_intervals(log: DataFrame, undone: DataFrame | None = None) -> DataFrame:
+    """(scope, owner, column, term, confidence, from_run, to_run): when each learned alias held.
+
+    log: run, scope, owner, column, term - what users accepted, run by run. A header has one term at a time: another
+    one supersedes it from that run on, a repeat confirms it. Runs listed in `undone` (run) count as never made, so what they
+    superseded holds on. `to_run` is null for what holds still; the state at a run is a filter on the two."""
+    made = log if undone is None else log.join(undone.select("run").distinct(), "run", "left_anti")
+    head = ["scope", "owner", "column"]
+    steps = made.groupBy(*head, "run").agg(F.max("term").alias("term"))
+    order = Window.partitionBy(*head).orderBy("run")
+    times = F.row_number().over(Window.partitionBy(*head, "term").orderBy("run"))
+    steps = steps.withColumns({"to_run": F.lead("run").over(order), "k": times})
+    learned = F.least(F.lit(1.0), 0.80 + 0.05 * (F.col("k") - 1))
+    return steps.select(*head, "term", F.round(learned, 2).alias("confidence"), F.col("run").alias("from_run"), "to_run")
+
+
+def aliases_at(intervals: DataFrame, run: int) -> DataFrame:
+    """The aliases that hold after a run."""
+    return intervals.filter((F.col("from_run") <= run) & (F.col("to_run").isNull() | (F.col("to_run") > run)))
+
+
 def compose_ratio(df: DataFrame, composed: Column, any_input: Column) -> DataFrame:
     """One row: share of rows with input whose composition is valid."""
     return df.agg(F.count_if(any_input).alias("input_n"), F.count_if(any_input & composed.isNotNull()).alias("valid_n")).withColumn(
@@ -369,4 +452,4 @@ def auto_map(df: DataFrame, dataset: str = "data", synonyms: DataFrame | None =
     from quadrat.operators.stats import column_profile
 
     profile = column_profile(df, [c for c in df.columns if c != row_id]).withColumn("dataset", F.lit(dataset))
-    return decide(candidates(profile, synonyms, options=options), options)
+    return compose_missing(decide(candidates(profile, synonyms, options=options), options), df, dataset, options)

@@ -188,9 +188,20 @@ def column_profile(spark, sf):
     return S.column_profile(occ(spark, sf), ["latitude", "area_ha"]).select("column", "filled", "completeness", "numeric", "latitude")
 
 
-@query("values_sampled_by_content")
-def values_sampled_by_content(spark, sf):
-    return S.sample_values(occ(spark, sf), "especie", 0.2)
+@query(
+    "values_sampled_by_tier",
+    with_occ(
+        ", v AS (SELECT 'especie' AS \"column\", 1000 AS t, row_id, trim(especie) AS value FROM occ UNION ALL SELECT 'pais', 500, row_id, trim(pais) FROM occ "
+        "UNION ALL SELECT 'sexo', 200, row_id, trim(sexo) FROM occ), "
+        "f AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY row_id) AS i, count(*) OVER (PARTITION BY \"column\") AS n FROM v WHERE value <> ''), "
+        "k AS (SELECT DISTINCT \"column\", n, t, unnest(range(0, t)) AS k FROM f WHERE n > t), "
+        "p AS (SELECT \"column\", round_even(1 + k * ((n - 1)::DOUBLE / (t - 1)), 0)::BIGINT AS i FROM k) "
+        "SELECT \"column\", row_id, value FROM f WHERE n <= t UNION ALL SELECT f.\"column\", row_id, value FROM f JOIN p USING (\"column\", i)"
+    ),
+)
+def values_sampled_by_tier(spark, sf):
+    scores = spark.createDataFrame([("especie", 0.95), ("pais", 0.8), ("sexo", 0.5)], "column string, name_score double")
+    return S.sample_values(occ(spark, sf).select("row_id", "especie", "pais", "sexo"), scores, hot_rows=700)
 
 
 @query(
