@@ -611,6 +611,36 @@ def _sex_edits(spark, sf):
     return single.unionByName(wide)
 
 
+_RARE = (
+    "SELECT o_orderkey AS row_id, {term} AS term, {kind} AS type, {value} AS value FROM orders WHERE o_orderkey % 8 = {rest}"
+)
+
+
+def _rare_sql() -> str:
+    cases = [
+        (0, "eventDate", "interval_inverted", "2003-05-01/2002-01-02"), (1, "eventDate", "year_range", "1200-05-01"),
+        (2, "year", "date_mismatch", "2004"), (3, "eventTime", "time_invalid", "8h30"), (4, "decimalLatitude", "coord_invalid", "95.5"),
+        (5, "scientificNameAuthorship", "name_authorship", "(Linnaeus, 1771"), (6, "scientificName", "name_multiple", "Aus bus / Cus dus"),
+        (7, "scientificName", "name_extra_text", "Aus bus (cultivado)"),
+    ]
+    quoted = [{"rest": r, "term": f"'{t}'", "kind": f"'{k}'", "value": f"'{v}'"} for r, t, k, v in cases]
+    return " UNION ALL ".join(_RARE.format(**q) for q in quoted)
+
+
+@query("problem_rare_types", _rare_sql())
+def problem_rare_types(spark, sf):
+    """One cell wrong in each order's record: the types the occurrence table never shows."""
+    k = F.col("o_orderkey") % 8
+    cell = lambda fine, rest, wrong: F.when(k == rest, wrong).otherwise(fine)
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.when(k == 0, "2003-05-01/2002-01-02").when(k == 1, "1200-05-01").otherwise("2003-05-01").alias("eventDate"),
+        F.when(k < 2, "").otherwise(cell("2003", 2, "2004")).alias("year"), cell("08:30", 3, "8h30").alias("eventTime"),
+        cell("-10.5", 4, "95.5").alias("decimalLatitude"), F.lit("-50.25").alias("decimalLongitude"),
+        F.when(k == 6, "Aus bus / Cus dus").when(k == 7, "Aus bus (cultivado)").otherwise("Aus bus").alias("scientificName"),
+        cell("L.", 5, "(Linnaeus, 1771").alias("scientificNameAuthorship"))
+    return P.detect_problems(rows, AS_OF_YEAR).select("row_id", "term", "type", "value")
+
+
 @query(
     "problem_copies_excluded",
     with_mapped(
