@@ -8,6 +8,7 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions import coords as C
 from quadrat.functions.jsontext import merge_property
 from quadrat.functions.text import text
 from quadrat.lookups import LICENSE_URIS
@@ -42,6 +43,8 @@ class ExportInputs:
     national_status: bool = False
     justification: str = ""
     as_of_year: int | None = None
+    #: row_id and the source columns no term uses, published at the right of the terms.
+    extras: DataFrame | None = None
 
 
 @dataclass
@@ -50,6 +53,12 @@ class ExportProduct:
     measurements: DataFrame | None
     private: DataFrame | None
     changes: DataFrame
+    #: What `rows_under_review` reads: the records before masking, their row plan, protected points, unmapped headers.
+    records: DataFrame | None = None
+    plan: DataFrame | None = None
+    points: DataFrame | None = None
+    headers: tuple[str, ...] = ()
+    dropped: DataFrame | None = None
 
 
 def conservation_status(
@@ -81,7 +90,11 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
     if effective is not inputs.records:
         ensure_checkpoint_dir(inputs.records.sparkSession)
         effective = effective.checkpoint()
-    masked, private, points, moved = effective, None, None, None
+    masked, private, points, moved, whole = effective, None, None, None, None
+    extras, names = inputs.extras, {}
+    if extras is not None:
+        names = M.unmapped_names([c for c in effective.columns], [c for c in extras.columns if c != row_id])
+        extras = extras.select(row_id, *[F.col(f"`{c}`").cast("string").alias(n) for c, n in names.items()])
     if inputs.levels is not None and inputs.threatened is not None:
         decisions = inputs.decisions
         if decisions is not None and inputs.reviews is not None:
@@ -92,10 +105,17 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
         masked, private = G.mask_locations(plan, row_id, G.clean_justification(inputs.justification, points))
         masked = masked.checkpoint()
         moved = plan.filter("p_target OR p_withheld").select(row_id)
+        whole = plan if extras is None else plan.join(extras, row_id, "left")
+        if extras is not None:
+            hidden = F.col("p_target") | F.col("p_withheld")
+            clean = M.blank_coordinate_cells(whole, list(names.values()), hidden, F.col("p_lat"), F.col("p_lon"), F.col("p_eff_grid"))
+            extras = clean.select(row_id, *[F.col(f"`{n}`") for n in names.values()])
     status = conservation_status(
         masked, inputs.threatened if inputs.national_status else None, inputs.red_list, moved, row_id
     )
     core = M.normalise_for_export(status, inputs.as_of_year, row_id)
+    if extras is not None:
+        core = core.join(extras, row_id, "left")
     if inputs.dropped is not None:
         core = core.join(inputs.dropped.select(row_id), row_id, "left_anti")
         private = None if private is None else private.join(inputs.dropped.select(row_id), row_id, "left_anti")
@@ -105,14 +125,51 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
         core = G.redact_point_pairs(core, points, [c for c in core.columns if c not in keep], row_id)
     core, measurements = M.split_measurements(core)
     changes = M.change_log(inputs.records, effective, inputs.edits, moved, inputs.dropped, row_id)
-    return ExportProduct(core, measurements, private, changes)
+    return ExportProduct(core, measurements, private, changes, effective, whole, points, tuple(names), inputs.dropped)
+
+
+def _unreadable_points(records: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, problem) of records with a coordinate that is no number or out of range."""
+    bad = F.lit(False)
+    for column, limit in (("decimalLatitude", 90), ("decimalLongitude", 180)):
+        if column in records.columns:
+            bad = bad | ((text(column) != "") & ~C.coord_ok(column, limit))
+    return records.filter(bad).select(row_id, F.lit("coord_invalid").alias("problem"))
+
+
+def _texts_under_review(plan: DataFrame, points: DataFrame, headers: list[str], row_id: str) -> DataFrame:
+    """(row_id, problem): protected records whose texts, unmapped columns among them, still give a place away.
+
+    A text with a point of a record that has none itself, a projected point, and a column header that spells one."""
+    texts = G.point_text_rows(plan, row_id).select(row_id, F.lit("point_text").alias("problem"))
+    found = texts.unionByName(G.copy_review(plan, row_id=row_id))
+    if headers:
+        names = plan.sparkSession.createDataFrame(list(enumerate(headers)), "id int, text string")
+        spelled = G.headers_with_points(names, points)
+        nobody = F.lit(None).cast(plan.schema[row_id].dataType).alias(row_id)
+        found = found.unionByName(spelled.select(nobody, F.lit("point_in_header").alias("problem")))
+    return found
+
+
+def rows_under_review(product: ExportProduct, row_id: str = "row_id") -> DataFrame:
+    """(row_id, problem): what must be looked at before the product may be written; row_id is null for headers."""
+    found = _unreadable_points(product.records, row_id)
+    if product.plan is not None:
+        found = found.unionByName(_texts_under_review(product.plan, product.points, list(product.headers), row_id))
+    return found if product.dropped is None else found.join(product.dropped.select(row_id), row_id, "left_anti")
 
 
 def blockers(product: ExportProduct, row_id: str = "row_id") -> DataFrame:
     """(problem) rows that stop an export; empty when it may be written."""
     formulas = quality.formula_cells(product.core, row_id).limit(1).select(F.lit("formula_cell").alias("problem"))
     ready = stats.readiness(product.core).filter("blocked").select(F.lit("not_ready").alias("problem"))
-    return formulas.unionByName(ready)
+    found = formulas.unionByName(ready)
+    if product.measurements is not None:
+        cells = quality.formula_cells(product.measurements.withColumn(row_id, F.lit(0)), row_id)
+        found = found.unionByName(cells.limit(1).select(F.lit("formula_cell").alias("problem")))
+    if product.records is not None:
+        found = found.unionByName(rows_under_review(product, row_id).select("problem").distinct())
+    return found.distinct()
 
 
 def term_uri(name: str) -> str:

@@ -268,6 +268,35 @@ def export_private_records(spark, sf):
     return product(spark, sf).private.select("row_id", "decimalLatitude")
 
 
+def _reviewed(spark, sf):
+    """Every second record has no point, every record a note with one in a column no term uses."""
+    records = mapped(spark, sf).withColumn("decimalLatitude", F.when(F.col("row_id") % 2 == 0, "").otherwise(F.col("decimalLatitude")))
+    notes = records.select("row_id", F.concat(F.lit("ponto -23.5505, -46.6333 n"), F.col("row_id").cast("string")).alias("nota de campo"))
+    dropped = records.filter("row_id % 7 = 0").select("row_id")
+    return X.build_product(X.ExportInputs(
+        records=records, levels=levels(spark), threatened=threatened(spark), dropped=dropped, as_of_year=AS_OF_YEAR, extras=notes))
+
+
+@query(
+    "export_rows_under_review",
+    with_mapped(PLAN_CTE + " SELECT row_id, 'point_text' AS problem FROM ok WHERE sens AND row_id % 2 = 0 AND row_id % 7 <> 0"),
+)
+def export_rows_under_review(spark, sf):
+    return X.rows_under_review(_reviewed(spark, sf))
+
+
+@query(
+    "export_unmapped_columns",
+    with_mapped("SELECT row_id, 'ponto -23.5505, -46.6333 n' || row_id AS nota FROM mapped WHERE row_id % 7 <> 0 AND scientificName NOT LIKE 'Panthera%' "
+                "AND scientificName NOT LIKE 'Puma%' AND scientificName NOT LIKE 'Euterpe%'"),
+)
+def export_unmapped_columns(spark, sf):
+    """The unmapped column of records of species without a level: published as it is."""
+    core = _reviewed(spark, sf).core.select("row_id", "scientificName", F.col("`nota de campo`").alias("nota"))
+    free = ~F.col("scientificName").rlike("^(Panthera|Puma|Euterpe)")
+    return core.filter(free).select("row_id", "nota")
+
+
 @query(
     "export_core_points",
     with_mapped(
