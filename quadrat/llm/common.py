@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +113,13 @@ def is_listed(table: bytes, hashes: np.ndarray) -> np.ndarray:
     at = hashes & np.uint64(len(table) * 8 - 1)
     byte = np.frombuffer(table, np.uint8)[(at >> np.uint64(3)).astype(np.int64)]
     return (byte >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def listed(table: bytes, hashed: Column) -> Column:
+    """Whether a bit table lets the long `hashed` through, as a column."""
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        return pd.Series(is_listed(table, values.to_numpy(np.int64).view(np.uint64)))
+
+    return found(hashed)

@@ -12,7 +12,8 @@ at least 50 words that meet become the repeated spans of the document.
 
 A block or window that any number of documents share is one row of the index, aggregated before it is shuffled; no
 two documents are ever paired. The second pass over the texts reads windows of such boundaries alone, chosen
-by a bit table of fixed size; what it lets through beyond them is checked like the rest. Words, shingles, blocks
+by a bit table of fixed size, and only rows that such tables let through are joined; what passes wrongly is
+checked like the rest. Words, shingles, blocks
 and windows are compared by 64-bit hashes; a window needs its own and its anchor's to agree."""
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quadrat.llm.common import bit_table, broadcast_within, is_listed, split_words, stored, xxhash64_of
+from quadrat.llm.common import bit_table, broadcast_within, is_listed, listed, split_words, stored, xxhash64_of
 
 WINDOW = 50
 SHINGLE = 8
@@ -146,7 +147,7 @@ def _boundaries(docs: DataFrame, wanted: bytes, window: int, shingle: int) -> Da
     lists = [StructField(c, ArrayType(LongType())) for c in ("starts", "windows")]
     schema = StructType([FIELDS[0], FIELDS[1], FIELDS[4], *lists])
 
-    def listed(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    def as_lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
         ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
@@ -167,7 +168,7 @@ def _boundaries(docs: DataFrame, wanted: bytes, window: int, shingle: int) -> Da
                 at = np.arange(count[one].sum()) - np.repeat(np.cumsum(count[one]) - count[one] - begin, count[one])
                 yield pa.record_batch([
                     pa.array(ids[row[one]]), pa.array(keys[row[one]]), pa.array(anchor[one].view(np.int64)),
-                    listed(start[order], np.diff(new, append=len(order))), listed(hashes[at].view(np.int64), count[one]),
+                    as_lists(start[order], np.diff(new, append=len(order))), as_lists(hashes[at].view(np.int64), count[one]),
                 ], schema.names)
 
     return docs.mapInArrow(parse, schema)
@@ -195,7 +196,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
     blocks = stored(_parsed(rows, window, shingle), "reference-blocks")
     index = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     index = stored(index, "reference-index")
-    whole = blocks.join(index.filter("first < last"), ["anchor", "block"]).filter(F.col("doc_id") > F.col("first"))
+    repeated, name = index.filter("first < last"), F.xxhash64("anchor", "block")
+    maybe = blocks.filter(listed(bit_table(repeated.select(name.alias("h")), "h"), name))
+    whole = maybe.join(repeated, ["anchor", "block"]).filter(F.col("doc_id") > F.col("first"))
     whole = whole.select("doc_id", "row_key", "start", (F.col("start") + F.col("count") + window - 1).alias("end"))
 
     several = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("f"), F.max("last").alias("l"))
@@ -205,7 +208,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
     edges = stored(_boundaries(rows, wanted, window, shingle), "boundary-windows")
     at = edges.select("doc_id", "row_key", "anchor", "starts", F.posexplode("windows").alias("i", "w"))
     first = at.groupBy("anchor", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    part = at.join(first.filter("first < last"), ["anchor", "w"]).filter(F.col("doc_id") > F.col("first"))
+    first, name = stored(first.filter("first < last"), "repeated-windows"), F.xxhash64("anchor", "w")
+    maybe = at.filter(listed(bit_table(first.select(name.alias("h")), "h"), name))
+    part = maybe.join(first, ["anchor", "w"]).filter(F.col("doc_id") > F.col("first"))
     part = part.select("doc_id", "row_key", F.col("i"), F.explode("starts").alias("start"))
     part = part.select("doc_id", "row_key", (F.col("start") + F.col("i")).alias("start"),
                        (F.col("start") + F.col("i") + window).alias("end"))
@@ -220,12 +225,15 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
     compared with each other, so repeated rows get equal answers; a null doc_id is smaller than none and greater than
     none, its text is kept whole. Other columns are not read."""
     found = stored(repeated_spans(docs, window, shingle), "repeated-spans")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     found = found.select(F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"), "spans")
-    same = (rows["doc_id"].cast("long") == found["of_id"]) & (rows["row_key"] == found["of_key"])
-    rows = rows.join(found, same, "left")
+    table = bit_table(found.select(F.xxhash64("of_id", "of_key").alias("h")), "h")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    maybe = listed(table, F.xxhash64(F.col("doc_id").cast("long"), "row_key"))
+    same = (F.col("doc_id").cast("long") == F.col("of_id")) & (F.col("row_key") == F.col("of_key"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    rows = rows.select("doc_id", split_words(F.col("text")).alias("words"), F.coalesce("spans", none).alias("spans"))
+    joined = rows.filter(maybe).join(found, same, "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    rows = joined.unionAll(rows.filter(~maybe).select("doc_id", "text", none.alias("spans")))
+    rows = rows.select("doc_id", split_words(F.col("text")).alias("words"), "spans")
     size = F.size("words")
     froms = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
     upto = F.concat(F.transform("spans", lambda s: s["start"]), F.array(size.cast("long")))
