@@ -32,17 +32,18 @@ def clean_records(stream: DataFrame, day_first: bool | None = None, as_of_year:
     return out
 
 
-def status_sink(folder: str) -> Callable[[DataFrame, int], None]:
+def status_sink(folder: str, earlier: str | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function that keeps the latest status per name as versioned Parquet in `folder`.
 
-    A batch reads version n and writes n + 1, so a replayed batch gives the same version again."""
+    A batch reads version n and writes n + 1, so a replayed batch gives the same version again. A query with a new
+    checkpoint counts from zero and takes a folder of its own; `earlier` is the version (a path) it goes on from, so
+    that no name is lost."""
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if epoch == 0:
-            empty = batch.limit(0).select("query_name", "validation_status", "provider", "display_order")
-            state = empty
+        before = f"{folder}/version={epoch - 1}" if epoch else earlier
+        if before is None:
+            state = batch.limit(0).select("query_name", "validation_status", "provider", "display_order")
         else:
-            state = spark.read.parquet(f"{folder}/version={epoch - 1}")
+            state = batch.sparkSession.read.parquet(before)
         upsert_status(state, batch).write.mode("overwrite").parquet(f"{folder}/version={epoch}")
 
     return merge

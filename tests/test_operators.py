@@ -122,6 +122,10 @@ def test_stream_cleaning_and_status(spark, tmp_path):
     sink(spark.createDataFrame([("a", "ambiguous", "q", 3), ("b", "synonym", "q", 4)], schema), 1)
     got = {r["query_name"]: (r["validation_status"], r["display_order"]) for r in spark.read.parquet(str(tmp_path / "state/version=1")).collect()}
     assert got == {"a": ("accepted", 3), "b": ("synonym", 4)}
+    again = status_sink(str(tmp_path / "later"), str(tmp_path / "state/version=1"))  # a new checkpoint
+    again(spark.createDataFrame([("c", "accepted", "p", 5), ("a", "synonym", "p", 6)], schema), 0)
+    got = {r["query_name"]: (r["validation_status"], r["display_order"]) for r in spark.read.parquet(str(tmp_path / "later/version=0")).collect()}
+    assert got == {"a": ("accepted", 6), "b": ("synonym", 4), "c": ("accepted", 5)}
 
 
 def test_places_are_near_across_the_180th_meridian(spark):
