@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 19
 CELLS = 1 << 21
 # First code points of the Unicode blocks that begin a script; a block runs to the next entry.
 SCRIPTS = (
