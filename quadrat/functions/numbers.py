@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ def number(value: Column) -> Column:
     return F.when(value.rlike(FLOAT_TEXT), value.try_cast("double"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with `value` worked out once, however often `then` names it: nothing shares it inside a condition."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def plain_number_text(value: Column) -> Column:
     """Number text without exponent and without trailing zeros."""
     fixed = value.cast("decimal(28,12)").cast("string")
@@ -53,18 +59,23 @@ def uncertainty_ok(value: Column | str, decimal_dot: Column | bool = False) -> C
 def uncertainty_number(value: Column | str, decimal_dot: Column | bool = False) -> Column:
     """Metres in a text such as `30 m`, `ca. 2 km` or `1.500`, before the range test."""
     dot = F.lit(decimal_dot) if isinstance(decimal_dot, bool) else F.coalesce(decimal_dot, F.lit(False))
-    v = F.lower(text(value))
-    bare = strip(F.regexp_replace(F.regexp_replace(v, APPROX_PREFIX, ""), LENGTH_UNIT, ""))
-    plain = F.when(~dot & bare.rlike(THOUSANDS), F.replace(bare, F.lit("."), F.lit(""))).otherwise(
-        F.regexp_replace(bare, "^([^,]*),", "$1.")
-    )
-    num = number(plain)
-    return F.when(v.rlike("[0-9 ]km$"), num * 1000).otherwise(num)
+
+    def plain(bare: Column) -> Column:
+        return F.when(~dot & bare.rlike(THOUSANDS), F.replace(bare, F.lit("."), F.lit(""))).otherwise(
+            F.regexp_replace(bare, "^([^,]*),", "$1.")
+        )
+
+    def metres(v: Column) -> Column:
+        bare = strip(F.regexp_replace(F.regexp_replace(v, APPROX_PREFIX, ""), LENGTH_UNIT, ""))
+        num = _once(_once(bare, plain), number)
+        return num * F.when(v.rlike("[0-9 ]km$"), 1000).otherwise(1)
+
+    return _once(F.lower(text(value)), metres)
 
 
 def suggest_uncertainty(value: Column | str, decimal_dot: Column | bool = False) -> Column:
     out = plain_number_text(uncertainty_number(value, decimal_dot))
-    return F.when(uncertainty_ok(out, decimal_dot), out)
+    return _once(out, lambda x: F.when(uncertainty_ok(x, decimal_dot), x))
 
 
 def uncertainty_metres(value: Column | str) -> Column:

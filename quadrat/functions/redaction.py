@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType,
@@ -126,26 +126,37 @@ def _none(value: float | None) -> float | None:
     return None if value is None or math.isnan(value) else value
 
 
-@F.pandas_udf(StringType())
-def _redact(cells: pd.DataFrame) -> pd.Series:
-    def one(row: tuple) -> str | None:
-        text, lat, lon, grid, pub_lat, pub_lon = row
-        if text is None or grid is None or not grid > 0:
-            return text
-        return redact_cell(text, _none(lat), _none(lon), grid, pub_lat or "", pub_lon or "")
-
-    return pd.Series([one(r) for r in cells.itertuples(index=False, name=None)], dtype=object)
-
-
-def redact_copies(cell: Column, lat: Column, lon: Column, grid: Column, pub_lat: Column, pub_lon: Column, rows: Column) -> Column:
-    """Cell text with the copies of its row's own point replaced; other rows stay in the JVM untouched."""
-    candidate = F.coalesce(rows & might_hold_point(cell) & grid.isNotNull(), F.lit(False))
+@F.pandas_udf(ArrayType(StringType()))
+def _redact(rows: pd.DataFrame) -> pd.Series:
+    out = pd.Series([None] * len(rows), dtype=object)
+    there = rows[rows["texts"].notna()]
+    for at, texts, lat, lon, grid, pub_lat, pub_lon in there.itertuples(name=None):
+        point = _none(lat), _none(lon), grid, pub_lat or "", pub_lon or ""
+        out[at] = [t if t is None or not grid > 0 else redact_cell(t, *point) for t in texts]
+    return out
+
+
+def redact_copies(
+    df: DataFrame, cells: dict[str, Column], lat: Column, lon: Column, grid: Column, pub_lat: Column, pub_lon: Column,
+    rows: dict[str, Column],
+) -> DataFrame:
+    """`df` with the columns `cells`, in each the copies of its row's own point replaced where `rows` holds.
+
+    One Arrow call a row takes all its candidates; cells that are none stay in the JVM untouched."""
+    names = list(cells)
+    texts = F.array(*[
+        F.when(F.coalesce(rows[c] & might_hold_point(cells[c]) & grid.isNotNull(), F.lit(False)), cells[c]) for c in names])
+    staged = df.withColumn("__texts", texts)
+    found = F.exists("__texts", lambda x: x.isNotNull())
+    shown = lambda x: F.when(found, x)
     packed = F.struct(
-        F.when(candidate, cell).alias("text"), F.when(candidate, lat).alias("lat"), F.when(candidate, lon).alias("lon"),
-        F.when(candidate, grid).alias("grid"), F.when(candidate, pub_lat).alias("pub_lat"),
-        F.when(candidate, pub_lon).alias("pub_lon"),
+        shown(F.col("__texts")).alias("texts"), shown(lat).alias("lat"), shown(lon).alias("lon"), shown(grid).alias("grid"),
+        shown(pub_lat).alias("pub_lat"), shown(pub_lon).alias("pub_lon"),
     )
-    return F.when(candidate, _redact(packed)).otherwise(cell)
+    staged = staged.withColumn("__clean", _redact(packed))
+    return staged.withColumns(
+        {c: F.coalesce(F.get("__clean", F.lit(i)), cells[c]) for i, c in enumerate(names)}
+    ).drop("__texts", "__clean")
 
 
 def _tokens(text: str) -> list[dict]:

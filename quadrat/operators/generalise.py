@@ -110,9 +110,10 @@ def _cell(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
 
 
-def already_generalised(df: DataFrame) -> Column:
-    """An uncertainty of a kilometre or more, or a note that says so."""
-    metres = M.masking_uncertainty_metres(_cell(df, "coordinateUncertaintyInMeters"))
+def already_generalised(df: DataFrame, metres: Column | None = None) -> Column:
+    """An uncertainty of a kilometre or more, or a note that says so; `metres` if it is known."""
+    if metres is None:
+        metres = M.masking_uncertainty_metres(_cell(df, "coordinateUncertaintyInMeters"))
     return F.coalesce(metres >= M.ALREADY_GENERALISED_M, F.lit(False)) | is_generalisation_note(
         _cell(df, "dataGeneralizations")
     )
@@ -150,7 +151,7 @@ def generalisation_plan(
             "p_lat": C.coord_number("decimalLatitude"),
             "p_lon": C.coord_number("decimalLongitude"),
             "p_prior": M.uncertainty_metres(_cell(df, "coordinateUncertaintyInMeters")),
-            "__metres": M.masking_uncertainty_metres(_cell(df, "coordinateUncertaintyInMeters")),
+            "__ambiguous": M.ambiguous_uncertainty(_cell(df, "coordinateUncertaintyInMeters")),
             "p_stored": F.greatest(
                 C.decimal_grid("decimalLatitude"), C.decimal_grid("decimalLongitude"),
                 M.number(text(_cell(df, "coordinatePrecision"))),
@@ -160,12 +161,13 @@ def generalisation_plan(
         }
     )
     lat, lon = F.col("p_lat"), F.col("p_lon")
+    base = base.withColumn("__metres", F.when(~F.col("__ambiguous"), F.col("p_prior")))
     base = base.withColumns(
         {
             "p_grid": tier_grid(F.col("p_tier")),
             "__ok": C.usable_point(lat, lon),
             "__snap": snap_grid(df, lat, lon, F.col("__metres")),
-            "__before": already_generalised(df),
+            "__before": already_generalised(df, F.col("__metres")),
         }
     )
     base = base.withColumn("__sens", F.col("__sensitive") & F.col("p_grid").isNotNull())
@@ -194,7 +196,7 @@ def generalisation_plan(
     )
     radius = C.cell_radius_m(F.col("p_eff_grid"), F.col("p_pub_lon"), F.col("p_pub_lat"))
     base = base.withColumn("p_metres", F.ceil(radius + F.coalesce("p_prior", F.lit(0.0))))
-    done = base.drop("__sensitive", "__tier", "__metres", "__place", "__ok", "__snap", "__before", "__sens", "__masked", "__base")
+    done = base.drop("__sensitive", "__tier", "__ambiguous", "__metres", "__place", "__ok", "__snap", "__before", "__sens", "__masked", "__base")
     return fence(done, plan_columns(done))
 
 
@@ -230,14 +232,12 @@ def _own_number_term(name: str) -> bool:
 
 def redact_own_points(df: DataFrame, columns: list[str], rows: Column, lat: Column, lon: Column, grid: Column, pub_lat: Column, pub_lon: Column) -> DataFrame:
     """Replace copies of each row's own point in its other text cells."""
-    out = {}
+    cells, where = {}, {}
     for c in columns:
-        cell = F.col(f"`{c}`").cast("string")
-        where = rows
+        cells[c], where[c] = F.col(f"`{c}`").cast("string"), rows
         if _own_number_term(c):
-            where = rows & M.number(F.regexp_replace(text(cell), "^([^,]*),", "$1.")).isNull()
-        out[c] = redact_copies(cell, lat, lon, grid, pub_lat, pub_lon, where)
-    return df.withColumns(out) if out else df
+            where[c] = rows & M.number(F.regexp_replace(text(cells[c]), "^([^,]*),", "$1.")).isNull()
+    return redact_copies(df, cells, lat, lon, grid, pub_lat, pub_lon, where) if columns else df
 
 
 def mask_locations(plan: DataFrame, row_id: str = "row_id", justification: str = "") -> tuple[DataFrame, DataFrame]:
@@ -270,9 +270,7 @@ def mask_locations(plan: DataFrame, row_id: str = "row_id", justification: str =
     pub_lat = F.when(target, _number(F.col("p_pub_lat"))).otherwise("")
     pub_lon = F.when(target, _number(F.col("p_pub_lon"))).otherwise("")
     full = plan.withColumns({c: F.coalesce(_cell(plan, c), F.lit("")) for c in MASK_COLUMNS})
-    full = full.withColumn(
-        "__prior", redact_copies(F.col("dataGeneralizations"), *own, pub_lat, pub_lon, touched)
-    )
+    full = redact_copies(full, {"__prior": F.col("dataGeneralizations")}, *own, pub_lat, pub_lon, {"__prior": touched})
     masked = {
         "decimalLatitude": F.when(target, pub_lat).when(withheld, "").otherwise(F.col("decimalLatitude")),
         "decimalLongitude": F.when(target, pub_lon).when(withheld, "").otherwise(F.col("decimalLongitude")),

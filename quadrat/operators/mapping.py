@@ -313,8 +313,10 @@ def blank_coordinate_cells(
         axis: F.coalesce(F.when(movable, plain_number_text(grid_round(v, step))), F.lit(""))
         for axis, v in (("lat", lat), ("lon", lon))
     }
+    texts = {f"__{i}": _quoted(c) for i, c in enumerate(columns) if not coordinate_like_header(c)}
+    df = redact_copies(df, texts, lat, lon, step, shown["lat"], shown["lon"], dict.fromkeys(texts, protected)) if texts else df
     out = {}
-    for c in columns:
+    for i, c in enumerate(columns):
         cell = _quoted(c)
         if coordinate_like_header(c):
             out[c] = F.when(protected, F.lit(None).cast("string")).otherwise(cell)
@@ -322,9 +324,8 @@ def blank_coordinate_cells(
         num = M.number(F.regexp_replace(text(cell), "^([^,]*),", "$1."))
         near = F.coalesce(F.abs(num - lat) < step, F.lit(False)) | F.coalesce(F.abs(num - lon) < step, F.lit(False))
         hidden = near | F.coalesce(cell.contains("°"), F.lit(False))
-        clean = redact_copies(cell, lat, lon, step, shown["lat"], shown["lon"], protected)
-        out[c] = F.when(protected & hidden, F.lit(None).cast("string")).when(protected, clean).otherwise(cell)
-    return df.withColumns(out)
+        out[c] = F.when(protected & hidden, F.lit(None).cast("string")).when(protected, F.col(f"__{i}")).otherwise(cell)
+    return df.withColumns(out).drop(*texts)
 
 
 # ---- measurements ------------------------------------------------------------------------------
