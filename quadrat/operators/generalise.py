@@ -313,63 +313,73 @@ def protected_points(plan: DataFrame) -> DataFrame:
     return picked.groupBy("lat", "lon", "grid").agg(F.max("pub_lat").alias("pub_lat"), F.max("pub_lon").alias("pub_lon"))
 
 
-BAND = 0.01
-WIDE_STEP = 0.005
+#: Sides of the boxes in which token pairs and points meet, and the coarsest step that uses each but the last.
+SIDES = (0.05, 0.5, 5.0)
+STEPS = (0.01, 0.1)
 
 
 def find_point_copies(cells: DataFrame, points: DataFrame) -> DataFrame:
     """(cell_id, stage, start, len, published): tokens of a text that spell both axes of one protected point.
 
     cells: cell_id, text, own_lat, own_lon (a row's own point does not count). points: as from
-    `protected_points`. Token and axis values meet in an equi-join on a band number. Fine tokens use
-    bands of 0.01 degree, coarse ones whole degrees. Only distinct token values are joined to distinct
-    axis values; each text then joins its latitude hits to its longitude hits through the point table.
-    Tokens and points are read several times, so both are written to the checkpoint folder first."""
+    `protected_points`. The token values of a text are paired before they meet the points: a pair lies in a box a few
+    steps wide on both axes, so an equi-join on the box compares it to the points of that box only, not to all that
+    share one axis. Equal pairs of several texts are compared once. Tokens and points are read several times, so both
+    are written to the checkpoint folder first."""
     ensure_checkpoint_dir(cells.sparkSession)
     points = points.checkpoint()
+    most = points.agg(F.max("grid").alias("g"), F.max(F.abs("lat")).alias("lat"), F.max(F.abs("lon")).alias("lon"))
     texts = cells.filter(might_hold_point(F.col("text")))
     tokens = texts.select(
         "cell_id", "own_lat", "own_lon", F.explode(point_tokens(F.col("text"))).alias("t")
     ).select("cell_id", "own_lat", "own_lon", "t.*").filter(~F.col("bare"))
-    widest = points.agg(F.max("grid").alias("g")).scalar()
-    tokens = tokens.filter(F.col("step") < widest).checkpoint()
-    tol = F.col("step") / 2 + 1e-9
-    values = tokens.select("value", "step").distinct().withColumn(
-        "width", F.when(F.col("step") <= WIDE_STEP, F.lit(BAND)).otherwise(F.lit(1.0))
-    )
-    bands = values.withColumn(
-        "band", F.explode(F.array_distinct(F.array(
-            F.floor((F.col("value") - tol) / F.col("width")), F.floor(F.col("value") / F.col("width")),
-            F.floor((F.col("value") + tol) / F.col("width")))))
-    )
-
-    def axis_hits(axis: str) -> DataFrame:
-        distinct = points.select(F.abs(axis).alias("size"), F.col(axis).alias(f"p_{axis}")).distinct()
-        keyed = distinct.withColumn("width", F.explode(F.array(F.lit(BAND), F.lit(1.0)))).withColumn(
-            "band", F.floor(F.col("size") / F.col("width"))
-        )
-        near = (F.abs(F.col("v.value") - F.col("a.size")) <= F.col("v.step") / 2 + 1e-9)
-        hit = bands.alias("v").join(
-            keyed.alias("a"), (F.col("v.band") == F.col("a.band")) & (F.col("v.width") == F.col("a.width")) & near
-        ).select("v.value", "v.step", f"a.p_{axis}")
-        found = tokens.join(hit, ["value", "step"])
-        own = F.coalesce(F.abs(F.col("value") - F.abs(f"own_{axis}")) <= tol, F.lit(False))
-        return found.select("cell_id", "stage", "start", "len", "step", f"p_{axis}", own.alias("own"))
-
-    lat_hits, lon_hits = axis_hits("lat"), axis_hits("lon")
-    known = points.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})
-    lat_side = lat_hits.join(known, "p_lat").filter(F.col("step") < F.col("grid"))
-    lon_side = lon_hits.join(known.select("p_lat", "p_lon", "grid", "pub_lon").alias("k"), "p_lon").filter(
-        F.col("step") < F.col("grid")
-    )
-    key = ["cell_id", "p_lat", "p_lon", "grid"]
-    lat_keys = lat_side.groupBy(*key).agg(F.bool_or("own").alias("own_a"))
-    lon_keys = lon_side.groupBy(*key).agg(F.bool_or("own").alias("own_b"))
-    both = lat_keys.join(lon_keys, key).filter(~(F.col("own_a") & F.col("own_b"))).select(*key)
-    spelled = lat_side.join(both, key, "left_semi").select("cell_id", "stage", "start", "len", F.col("pub_lat").alias("published")).unionByName(
-        lon_side.join(both, key, "left_semi").select("cell_id", "stage", "start", "len", F.col("pub_lon").alias("published"))
-    )
-    return spelled.groupBy("cell_id", "stage", "start", "len").agg(F.max("published").alias("published"))
+    tokens = tokens.filter(F.col("step") < most.select("g").scalar()).checkpoint()
+
+    def reach(step: Column) -> Column:
+        return step / 2 + 1e-9
+
+    def side(step: Column) -> Column:
+        return F.when(step <= STEPS[0], SIDES[0]).when(step <= STEPS[1], SIDES[1]).otherwise(SIDES[2])
+
+    def boxes(token: Column) -> Column:
+        ends = [F.floor((token["value"] + sign * reach(token["step"])) / side(token["step"])) for sign in (-1, 1)]
+        return F.sequence(*ends)
+
+    listed = tokens.groupBy("cell_id").agg(F.collect_set(F.struct("value", "step")).alias("all"))
+
+    def fits(axis: str) -> Column:
+        return F.filter("all", lambda x: x["value"] - reach(x["step"]) <= F.col(f"most_{axis}"))
+
+    limits = {f"most_{axis}": most.select(axis).scalar() for axis in ("lat", "lon")}
+    pairs = listed.withColumns(limits).select("cell_id", fits("lon").alias("b"), F.explode(fits("lat")).alias("a")).select(
+        "cell_id", "a", F.explode("b").alias("b"))
+    boxed = pairs.select("a", "b").distinct().withColumns({"side_a": side(F.col("a.step")), "side_b": side(F.col("b.step"))})
+    boxed = boxed.withColumn("box_a", F.explode(boxes(F.col("a")))).withColumn("box_b", F.explode(boxes(F.col("b"))))
+    sides = F.array(*[F.lit(x) for x in SIDES])
+    placed = points.withColumn("side_a", F.explode(sides)).withColumn("side_b", F.explode(sides)).withColumns(
+        {"box_a": F.floor(F.abs("lat") / F.col("side_a")), "box_b": F.floor(F.abs("lon") / F.col("side_b"))})
+
+    def near(token: str, axis: str) -> Column:
+        t = F.col(token)
+        return (F.abs(t["value"] - F.abs(axis)) <= reach(t["step"])) & (t["step"] < F.col("grid"))
+
+    met = boxed.join(placed, ["side_a", "side_b", "box_a", "box_b"]).filter(near("a", "lat") & near("b", "lon"))
+    hits = pairs.join(met.select("a", "b", "lat", "lon", "grid", "pub_lat", "pub_lon"), ["a", "b"])
+    own = tokens.groupBy("cell_id").agg(F.max(F.struct("own_lat", "own_lon")).alias("own"))
+
+    def is_own(token: str, axis: str) -> Column:
+        t = F.col(token)
+        return F.coalesce(F.abs(t["value"] - F.abs(F.col(f"own.own_{axis}"))) <= reach(t["step"]), F.lit(False))
+
+    point = hits.join(own, "cell_id").groupBy("cell_id", "lat", "lon", "grid").agg(
+        F.bool_or(is_own("a", "lat")).alias("own_a"), F.bool_or(is_own("b", "lon")).alias("own_b"),
+        F.collect_set(F.struct(F.col("a").alias("token"), F.col("pub_lat").alias("published"))).alias("as"),
+        F.collect_set(F.struct(F.col("b").alias("token"), F.col("pub_lon").alias("published"))).alias("bs"),
+    ).filter(~(F.col("own_a") & F.col("own_b")))
+    spelled = point.select("cell_id", F.explode(F.concat("as", "bs")).alias("x")).groupBy(
+        "cell_id", F.col("x.token.value").alias("value"), F.col("x.token.step").alias("step")
+    ).agg(F.max("x.published").alias("published"))
+    return tokens.join(spelled, ["cell_id", "value", "step"]).select("cell_id", "stage", "start", "len", "published")
 
 
 def redact_point_pairs(df: DataFrame, points: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
