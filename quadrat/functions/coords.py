@@ -282,11 +282,11 @@ def _in(value: Column, bounds: tuple[float, float]) -> Column:
     return F.coalesce(value.between(*bounds), F.lit(False))
 
 
-def is_projected_pair(a: Column, b: Column) -> Column:
-    """Two numbers that fit a projected grid and cannot be degrees."""
+def is_projected_pair(a: Column, b: Column, northings: tuple[float, float] = NORTHING_RANGE) -> Column:
+    """Two numbers that fit a projected grid and cannot be degrees; `northings` is the grid's range."""
     degrees = F.coalesce((F.abs(a) <= 90) & (F.abs(b) <= 180), F.lit(False))
     return ~degrees & (
-        (_in(a, EASTING_RANGE) & _in(b, NORTHING_RANGE)) | (_in(a, NORTHING_RANGE) & _in(b, EASTING_RANGE))
+        (_in(a, EASTING_RANGE) & _in(b, northings)) | (_in(a, northings) & _in(b, EASTING_RANGE))
     )
 
 
@@ -294,11 +294,13 @@ def projected_axes_ambiguous(a: Column, b: Column) -> Column:
     return _in(a, EASTING_RANGE) & _in(b, EASTING_RANGE)
 
 
-def assign_projected_axes(a: Column, b: Column, order: str | None = None) -> Column:
+def assign_projected_axes(
+    a: Column, b: Column, order: str | None = None, northings: tuple[float, float] = NORTHING_RANGE
+) -> Column:
     """struct(easting, northing); `order` settles pairs that fit both ways."""
     both = projected_axes_ambiguous(a, b)
-    a_east = _in(a, EASTING_RANGE) & _in(b, NORTHING_RANGE) & ~both
-    b_east = _in(b, EASTING_RANGE) & _in(a, NORTHING_RANGE) & ~both
+    a_east = _in(a, EASTING_RANGE) & _in(b, northings) & ~both
+    b_east = _in(b, EASTING_RANGE) & _in(a, northings) & ~both
     if order == "lat_northing":
         b_east = b_east | both
     elif order == "lat_easting":
