@@ -12,17 +12,18 @@ from quadrat.operators.numbering import HOT_ROWS, number_within, repeated_flag
 from quadrat.session import ensure_checkpoint_dir
 
 
-#: By how much the searched numbers of a content grow at a time, and how many one row is expanded to.
+#: How many numbers are searched next for each one that is taken or still wanted, and how many one row is expanded to.
 GROWTH, SLICE = 8, 10_000
 
 
 def _minted(groups: DataFrame) -> DataFrame:
     """(__key, __number, occurrenceID) of the numbers above `__from` up to `__upto` of each content.
 
-    The numbers are made slice by slice, so that no task expands a long range alone."""
+    The numbers are made slice by slice, so that no task expands a long range alone: a stated number of partitions
+    keeps adaptive execution from putting the few rows that expand to many into one."""
     first, last = F.floor(F.col("__from") / SLICE), F.floor((F.col("__upto") - 1) / SLICE)
     slices = groups.filter(F.col("__upto") > F.col("__from")).withColumn("__slice", F.explode(F.sequence(first, last)))
-    slices = slices.repartition("__key", "__slice")
+    slices = slices.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "__slice")
     low = F.greatest(F.col("__from"), F.col("__slice") * SLICE) + 1
     high = F.least(F.col("__upto"), (F.col("__slice") + 1) * SLICE)
     numbers = slices.select("__key", "__text", F.explode(F.sequence(low, high)).alias("__number"))
@@ -34,7 +35,8 @@ def _shifts(numbered: DataFrame, taken: DataFrame, hot_rows: int) -> DataFrame:
 
     The r-th free number is r plus the taken numbers below it. With the i-th taken number t, those are the i with
     t - i < r; numbers in a row share t - i, so one entry (t - i, i) for each island of taken numbers tells all.
-    Numbers are searched up to a bound that grows by GROWTH until a content has as many free ones as rows."""
+    Numbers are searched up to a bound until a content has as many free ones as rows. The bound moves up by GROWTH times
+    the numbers taken so far or still wanted, so what is searched grows with the taken numbers and not with the rows."""
     groups = numbered.groupBy("__key").agg(F.first("__text").alias("__text"), F.max("__number").alias("__rows"))
     fresh = numbered.select("__key", "__number", persistent_id(F.col("__text"), F.col("__number")).alias("occurrenceID"))
     ensure_checkpoint_dir(numbered.sparkSession)
@@ -42,7 +44,9 @@ def _shifts(numbered: DataFrame, taken: DataFrame, hot_rows: int) -> DataFrame:
     counts = found.groupBy("__key").agg(F.count("*").alias("__taken"))
     open_ = groups.join(counts, "__key").withColumn("__upto", F.col("__rows")).checkpoint()
     while not open_.isEmpty():
-        wider = open_.withColumn("__from", F.col("__upto")).withColumn("__upto", F.col("__upto") * GROWTH)
+        wanted = F.col("__rows") - (F.col("__upto") - F.col("__taken"))
+        reach = F.col("__upto") + F.greatest("__taken", wanted) * GROWTH
+        wider = open_.withColumn("__from", F.col("__upto")).withColumn("__upto", reach)
         more = _minted(wider).join(taken, "occurrenceID", "left_semi").select("__key", "__number").checkpoint()
         found = found.unionByName(more)
         counts = more.groupBy("__key").agg(F.count("*").alias("__more"))

@@ -60,9 +60,9 @@ def id_taken_numbers_passed(spark, sf):
     """New identifiers for all rows while some numbers of each content are taken."""
     columns = ["especie", "pais", "sexo"]
     base = occ(spark, sf).select("row_id", *columns)
-    made = I.generate_ids(base, columns).join(base, "row_id")
     rank = F.row_number().over(Window.partitionBy(*columns).orderBy("row_id"))
-    taken = made.withColumn("n", rank).filter(_TAKEN).select(F.col("occurrenceID").alias("id"))
+    first = base.withColumn("n", rank).filter("n <= 7").filter(_TAKEN).select("row_id")
+    taken = I.generate_ids(base, columns).join(first, "row_id", "left_semi").select(F.col("occurrenceID").alias("id"))
     return I.generate_ids(base, columns, taken, hot_rows=50)
 
 
