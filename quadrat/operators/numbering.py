@@ -6,37 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+#: Slice numbers whose rows one task sums.
+SLICE_RUN = 1_000
+
+
+def _rows_before(slices: DataFrame) -> DataFrame:
+    """(__group, __slice, __offset) of (__group, __slice, __rows): a group's rows in the slices before, where there are any.
+
+    Summed inside runs of SLICE_RUN slice numbers and then over the runs, so no task sums all slices of a group."""
+    runs = slices.withColumn("__run", F.floor(F.col("__slice") / SLICE_RUN))
+    within = Window.partitionBy("__group", "__run").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("__group").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = runs.groupBy("__group", "__run").agg(F.sum("__rows").alias("__rows"))
+    totals = totals.select("__group", "__run", F.sum("__rows").over(over).alias("__before")).filter("__before > 0")
+    summed = runs.withColumn("__inside", F.sum("__rows").over(within)).join(totals, ["__group", "__run"], "left")
+    offset = F.coalesce("__inside", F.lit(0)) + F.coalesce("__before", F.lit(0))
+    return summed.select("__group", "__slice", offset.alias("__offset")).filter("__offset > 0")
 
 
 def number_within(
     df: DataFrame, keys: list[str], out: str = "number", order: str = "row_id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """`row_number` inside groups of `keys` by the integer column `order`.
-
-    Groups larger than `hot_rows` are cut into slices of `hot_rows` consecutive order values, numbered
-    slice by slice, and shifted by the rows of the slices before. A slice holds at most `hot_rows`
-    rows because `order` is unique, so no task ever sorts a whole hot group."""
-    slices = F.floor(F.col(order) / F.lit(hot_rows))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).drop("__n")
-    hot = sizes.withColumn("__hot", F.lit(True))
-    marked = df.join(hot, keys, "left").withColumn(
-        "__slice", F.when(F.col("__hot"), slices).otherwise(F.lit(0))
-    )
-    local = Window.partitionBy(*keys, "__slice").orderBy(order)
-    numbered = marked.withColumn(out, F.row_number().over(local))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.filter("__hot")
-        .groupBy(*keys, "__slice")
-        .agg(F.count("*").alias("__rows"))
-        .withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-        .drop("__rows")
-    )
-    return (
-        numbered.join(offsets, [*keys, "__slice"], "left")
-        .withColumn(out, (F.col(out) + F.coalesce(F.col("__offset"), F.lit(0))).cast("long"))
-        .drop("__hot", "__slice", "__offset")
-    )
+    """`row_number` inside groups of `keys` (null keys are a group) by the integer column `order`.
+
+    Every group is cut into slices of `hot_rows` consecutive order values, numbered slice by slice, and
+    shifted by the rows of the slices before. A slice holds at most `hot_rows` rows because `order` is
+    unique. Rows are dealt by group and slice, never by the group alone, so no task gets a whole hot group."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    group = F.struct(*[F.col(f"`{k}`") for k in keys])  # nulls inside a struct are equal, so they join
+    marked = df.select(group.alias("__group"), F.floor(F.col(order) / F.lit(hot_rows)).alias("__slice"), *rest)
+    marked = marked.repartition("__group", "__slice")
+    numbered = marked.withColumn("__local", F.row_number().over(Window.partitionBy("__group", "__slice").orderBy(order)))
+    slices = marked.groupBy("__group", "__slice").agg(F.count("*").alias("__rows"))
+    number = (F.col("__local") + F.coalesce("__offset", F.lit(0))).cast("long")
+    return numbered.join(_rows_before(slices), ["__group", "__slice"], "left").select("__group.*", *rest, number.alias(out))
 
 
 def with_group_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
