@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import coords as C
 from quadrat.functions import dates as D
 from quadrat.functions import numbers as M
+from quadrat.functions.fence import fence
 from quadrat.functions.text import any_of, is_blank, text
-from quadrat.lookups import PUBLICATION_TERMS
+from quadrat.lookups import PUBLICATION_TERMS, local_table
 from quadrat.operators import quality as P
 from quadrat.operators import vocabularies as V
 from quadrat.operators.numbering import HOT_ROWS, number_within
@@ -19,30 +21,29 @@ MAP_LIMIT = 20000
 NAME_PATTERN = r"^[A-Z][A-Za-z-]+(\s+([a-z][A-Za-z-]+|sp\.?|cf\.?\s+[a-z][A-Za-z-]+))?$"
 
 
-def _share(hit: Column, filled: Column) -> Column:
-    return F.coalesce(F.count_if(filled & F.coalesce(hit, F.lit(False))) / F.nullif(F.count_if(filled), F.lit(0)), F.lit(0.0))
-
-
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, filled, completeness, numeric, latitude, longitude, name, count, status, basis): value shares.
 
-    All columns and all rows in one aggregate; nothing is sampled."""
-    def profile(c: str) -> Column:
-        v = text(F.col(f"`{c}`"))
-        filled = v != ""
-        num = M.number(F.replace(v, F.lit(","), F.lit(".")))
-        return F.struct(
-            F.lit(c).alias("column"), F.count_if(filled).alias("filled"),
-            F.coalesce(F.count_if(filled) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("completeness"),
-            _share(num.isNotNull(), filled).alias("numeric"), _share(F.abs(num) <= 90, filled).alias("latitude"),
-            _share(F.abs(num) <= 180, filled).alias("longitude"), _share(v.rlike(NAME_PATTERN), filled).alias("name"),
-            _share((num >= 0) & (F.abs(num - F.round(num)) < 1e-9), filled).alias("count"),
-            _share(V.occurrence_status(v).isin("present", "absent"), filled).alias("status"),
-            _share(V.basis_of_record(v) != "", filled).alias("basis"),
-        )
-
-    row = df.agg(*[profile(c).alias(f"p{i}") for i, c in enumerate(columns)])
-    return row.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(columns))])).alias("p")).select("p.*")
+    All columns and all rows in one aggregate over cells; nothing is sampled. One set of expressions reads the cells of
+    all columns: as many expressions as columns make code too long to compile. A cell's number is worked out once."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), text(F.col(f"`{c}`")).alias("v")) for i, c in enumerate(columns)])
+    filled = df.select(F.inline(cells)).withColumn("num", F.when(F.col("v") != "", M.number(F.replace("v", F.lit(","), F.lit(".")))))
+    v, num = F.col("v"), F.col("num")
+    hits = {
+        "numeric": num.isNotNull(), "latitude": F.abs(num) <= 90, "longitude": F.abs(num) <= 180, "name": v.rlike(NAME_PATTERN),
+        "count": (num >= 0) & (F.abs(num - F.round(num)) < 1e-9), "status": V.occurrence_status(v).isin("present", "absent"),
+        "basis": V.basis_of_record(v) != "",
+    }
+    staged = fence(filled, ["num"]).select("i", (v != "").alias("f"), *[((v != "") & h).alias(n) for n, h in hits.items()])
+    counted = staged.groupBy("i").agg(F.count("*").alias("rows"), F.count_if("f").alias("filled"), *[F.count_if(n).alias(n) for n in hits])
+    share = lambda n, of: F.coalesce(F.col(n) / F.nullif(F.col(of), F.lit(0)), F.lit(0.0)).alias(n)
+    names = local_table(df.sparkSession, {"n": list(range(len(columns))), "column": columns}, {"n": pa.int32()})
+    every = names.join(counted, F.col("n") == F.col("i"), "left")
+    filled = F.coalesce("filled", F.lit(0))
+    return every.select(
+        "column", filled.alias("filled"), F.coalesce(filled / F.nullif("rows", F.lit(0)), F.lit(0.0)).alias("completeness"),
+        *[share(n, "filled") for n in hits],
+    )
 
 
 #: Values a column is judged by, by how well its name fits. Fixed values.

@@ -448,8 +448,9 @@ def compose_missing(decisions: DataFrame, df: DataFrame, dataset: str, options:
 
 
 def auto_map(df: DataFrame, dataset: str = "data", synonyms: DataFrame | None = None, row_id: str = "row_id", options: Options = Options()) -> DataFrame:
-    """Profile a table and decide its mapping in one go."""
+    """Profile a table and decide its mapping in one go. The profile, a row per header, is written once for all who read it."""
     from quadrat.operators.stats import column_profile
 
-    profile = column_profile(df, [c for c in df.columns if c != row_id]).withColumn("dataset", F.lit(dataset))
+    ensure_checkpoint_dir(df.sparkSession)
+    profile = column_profile(df, [c for c in df.columns if c != row_id]).withColumn("dataset", F.lit(dataset)).checkpoint()
     return compose_missing(decide(candidates(profile, synonyms, options=options), options), df, dataset, options)

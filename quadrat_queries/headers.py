@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.lookups import local_table
 from quadrat.operators.stats import column_profile
 from quadrat.plans import automap as A
+from quadrat.session import ensure_checkpoint_dir
 from quadrat_queries.fixtures import mapped, with_mapped
 from quadrat_queries.occ import occ, table
 from quadrat_queries.registry import query
@@ -21,8 +22,10 @@ def synonyms(spark):
 
 
 def profile(spark, sf):
+    """The profile, a row per header, worked out once: what follows reads it several times."""
+    ensure_checkpoint_dir(spark)
     df = occ(spark, sf)
-    return column_profile(df, [c for c in df.columns if c != "row_id"]).withColumn("dataset", F.lit("data"))
+    return column_profile(df, [c for c in df.columns if c != "row_id"]).withColumn("dataset", F.lit("data")).checkpoint()
 
 
 def decisions(spark, sf):
@@ -58,7 +61,8 @@ def headers_alias_override(spark, sf):
                 "confidence": [0.9, 0.99], "reviewed": [True, True], "updated_at": ["2026-01-01", "2026-01-02"], "active": [True, True]},
         {"alias_id": pa.int64(), "confidence": pa.float64(), "reviewed": pa.bool_(), "active": pa.bool_()},
     )
-    return A.override_with_aliases(decisions(spark, sf), profile(spark, sf), A.visible_aliases(aliases, "me", "inst"))
+    heads = profile(spark, sf)
+    return A.override_with_aliases(A.decide(A.candidates(heads, synonyms(spark))), heads, A.visible_aliases(aliases, "me", "inst"))
 
 
 @query("headers_verbatim_fallback")
