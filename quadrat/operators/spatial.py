@@ -148,7 +148,10 @@ def in_country(points: DataFrame, index: DataFrame, iso3: str, lon: str, lat: st
 
 def near_land(points: DataFrame, index: DataFrame, lon: str, lat: str, metres: float, out: str = "on_land", cell: float | None = None) -> DataFrame:
     """Add `out`: on land, or so close to it that a 16-point ring around the point (8 at the full and
-    8 at half the tolerance) touches land. Only distinct points at sea get a ring."""
+    8 at half the tolerance) touches land. Only distinct points at sea get a ring.
+
+    Their answers grow with the points, while the planner, which knows compressed file sizes only, takes them for small:
+    they are joined by sorting, never sent through the driver."""
     size = cell or _cell_size(index)
     first = locate(points, index, lon, lat, "__here", size)
     if metres <= 0:
@@ -169,7 +172,7 @@ def near_land(points: DataFrame, index: DataFrame, lon: str, lat: str, metres: f
         .agg(F.bool_or(F.col("__ring").isNotNull()).alias("__touch"))
     )
     return (
-        first.join(touched, [lon, lat], "left")
+        first.join(touched.hint("merge"), [lon, lat], "left")
         .withColumn(out, F.col("__here").isNotNull() | F.coalesce("__touch", F.lit(False)))
         .drop("__here", "__touch")
     )
