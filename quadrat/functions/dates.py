@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.fence import fence
 from quadrat.functions.text import as_col, is_blank, lookup, match_form, strip, text
+from quadrat.session import ensure_checkpoint_dir, settled
 
 DATE_TERMS = ("eventDate", "dateIdentified", "modified")
 
@@ -273,13 +274,36 @@ def dates_to_iso(
     With `day_first="vote"` every column decides its own field order from all of its rows;
     the vote is a scalar subquery, so only one boolean per column travels. `ambiguous_suffix`
     also adds a flag for text whose day and month could be swapped, in a single date or in an
-    end of an interval.
+    end of an interval. Each distinct text is read once and looked up by the rows; a stream is read row by row.
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
     year = as_of_year or this_year()
-    order = _day_first_columns(df, columns, day_first, year)
+    if df.isStreaming:
+        return _read_dates(df, columns, year, _day_first_columns(df, columns, day_first, year), suffix, ambiguous_suffix)
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df
+    for c in columns:
+        texts = df.groupBy(text(f"`{c}`").alias("__dtext")).agg(F.count("*").alias("__n")).filter("__dtext <> ''").checkpoint()
+        order = F.lit(None if day_first == "vote" else day_first).cast("boolean")
+        if day_first == "vote":
+            total = _prepare(texts, ["__dtext"], year).agg(F.coalesce(F.sum(_votes("__dtext") * F.col("__n")), F.lit(0)).alias("t"))
+            order = total.select(F.when(F.col("t") > 0, True).when(F.col("t") < 0, False)).scalar()
+        read = settled(_read_dates(texts, ["__dtext"], year, {"__dtext": order}, "__i", "__a").drop("__n"), "__dtext")
+        out = out.withColumn("__dkey", text(f"`{c}`")).join(read, F.col("__dkey") == F.col("__dtext"), "left")
+        found = [F.col("__dtext__i").alias(c + suffix)]
+        if ambiguous_suffix:
+            found.append(F.coalesce("__dtext__a", F.lit(False)).alias(c + ambiguous_suffix))
+        out = out.select(*[F.col(f"`{x}`") for x in out.columns if x not in ("__dkey", "__dtext", "__dtext__i", "__dtext__a")], *found)
+    added = [c + suffix for c in columns] + ([c + ambiguous_suffix for c in columns] if ambiguous_suffix else [])
+    return out.select(*[F.col(f"`{x}`") for x in [*df.columns, *added]])
+
+
+def _read_dates(
+    df: DataFrame, columns: list[str], year: int, order: dict[str, Column], suffix: str, ambiguous_suffix: str | None
+) -> DataFrame:
+    """`dates_to_iso` row by row, once the field order of each column is known."""
     keep = df.columns
     staged = _prepare(df, columns, year)
     ends = [(c, k) for c in columns for k in "12"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.text import as_col, country_token, is_blank
 from quadrat.lookups import country_reference
 from quadrat.operators.fuzzy import fuzzy_pairs
+from quadrat.session import settled
 
 MIN_FUZZY_LENGTH = 4
 
@@ -49,10 +50,12 @@ def resolved_tokens(df: DataFrame, columns: list[Column | str], reference: DataF
 
 
 def with_country_codes(
-    df: DataFrame, columns: dict[str, str], reference: DataFrame | None = None, fuzzy: bool = True
+    df: DataFrame, columns: dict[str, str], reference: DataFrame | None = None, fuzzy: bool = True, texts: DataFrame | None = None
 ) -> DataFrame:
-    """Add an ISO3 column per country column (`{source: target}`); only distinct texts are resolved."""
-    codes = resolved_tokens(df, [F.col(f"`{c}`") for c in columns], reference, fuzzy)
+    """Add an ISO3 column per country column (`{source: target}`); only distinct texts are resolved.
+
+    They are read from `texts`, a table that is cheaper to make and holds the same cells, if one is given."""
+    codes = settled(resolved_tokens(df if texts is None else texts, [F.col(f"`{c}`") for c in columns], reference, fuzzy), "token")
     out = df
     for source, target in columns.items():
         side = codes.select(F.col("token").alias("__token"), F.col("iso3").alias(target))
@@ -71,9 +74,9 @@ def with_alpha2(df: DataFrame, column: str = "countryCode", reference: DataFrame
     return joined.withColumn(column, F.when(F.length(v) == 3, F.col("__iso2")).otherwise(v)).drop("__iso3", "__iso2")
 
 
-def derive_country_code(df: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """Fill a blank countryCode from the country text."""
-    coded = with_country_codes(df, {"country": "__iso3"}, reference)
+def derive_country_code(df: DataFrame, reference: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Fill a blank countryCode from the country text; `texts` as in `with_country_codes`."""
+    coded = with_country_codes(df, {"country": "__iso3"}, reference, texts=texts)
     if "countryCode" not in df.columns:
         return coded.withColumnRenamed("__iso3", "countryCode")
     return coded.withColumn(

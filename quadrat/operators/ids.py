@@ -69,6 +69,8 @@ def generate_ids(
     content = content.withColumn("__key", F.coalesce(F.sha2("__text", 256), F.lit("")))
     numbered = number_within(content, ["__key"], "__number", row_id, hot_rows)
     if reserved is not None:
+        ensure_checkpoint_dir(df.sparkSession)
+        numbered = numbered.checkpoint()  # read for the groups, the first search and the final numbers
         taken = reserved.select(F.col("id").alias("occurrenceID"))
         passed = F.filter("__islands", lambda x: x["__below"] < F.col("__number"))
         shift = F.coalesce(F.array_max(F.transform(passed, lambda x: x["__i"])), F.lit(0))
@@ -93,13 +95,11 @@ def resolve_ids(
     gaps = df.filter(is_blank(F.col(f"`{source}`")))
     reserved = supplied.filter(F.col("__given").isNotNull()).select(F.col("__given").alias("id")).distinct()
     made = generate_ids(gaps, columns, reserved, row_id, hot_rows).withColumnRenamed("occurrenceID", "__made")
-    return (
-        supplied.drop("occurrenceID")
-        .join(made, row_id, "left")
-        .withColumn("occurrenceID", F.coalesce("__given", "__made"))
-        .withColumn("id_origin", F.when(F.col("__given").isNotNull(), "supplied").otherwise("generated"))
-        .drop("__given", "__made")
-    )
+    kept = supplied.filter(F.col("__given").isNotNull()).drop("occurrenceID").withColumnRenamed("__given", "occurrenceID")
+    filled = supplied.filter(F.col("__given").isNull()).drop("occurrenceID", "__given").join(made, row_id, "left")
+    filled = filled.withColumnRenamed("__made", "occurrenceID")
+    # Only rows without an identifier meet the generated ones; the others are not shuffled.
+    return kept.withColumn("id_origin", F.lit("supplied")).unionByName(filled.withColumn("id_origin", F.lit("generated")))
 
 
 def id_counts(resolved: DataFrame) -> DataFrame:

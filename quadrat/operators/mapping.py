@@ -249,7 +249,7 @@ def normalise_for_export(
         out = out.withColumn("license", license_name("license"))
     out = geodetic_datum(out)
     if "country" in out.columns:
-        out = derive_country_code(out, reference)
+        out = derive_country_code(out, reference, texts=df)
     if "countryCode" in out.columns:
         out = with_alpha2(out, "countryCode", reference)
     return order_columns(out, row_id)
