@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.fence import fence
 from quadrat.functions.numbers import plain_number_text
 from quadrat.functions.text import all_of, as_col, strip, text
+from quadrat.session import settled
 
 EARTH_RADIUS_M = 6371008.8
 PLAIN_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)\s*$"
@@ -185,10 +186,16 @@ def with_coordinate_pairs(df: DataFrame, columns: list[str], suffix: str = "_pai
 
 def convert_coordinates(df: DataFrame, columns: dict[str, str], pair_column: bool = False) -> DataFrame:
     """Replace coordinate columns (`{column: axis}`) by decimal text: DMS and pairs are converted,
-    plain numbers stay. In a pair column a lone value cannot tell its axis, so it is blanked."""
-    names = list(columns)
-    stage = with_coordinate_pairs(df, names, "__pair")
-    stage = with_degrees(stage, columns, "__own")
+    plain numbers stay. In a pair column a lone value cannot tell its axis, so it is blanked.
+
+    Cells that are no plain number are read once per distinct text and looked up by the rows."""
+    stage = df
+    for c, axis in columns.items():
+        odd = F.when(coord_number(f"`{c}`").isNull() & (text(f"`{c}`") != ""), F.col(f"`{c}`").cast("string"))
+        texts = df.select(odd.alias("__ctext")).filter("__ctext IS NOT NULL").distinct()
+        read = with_degrees(with_coordinate_pairs(texts, ["__ctext"], "__p"), {"__ctext": axis}, "__o")
+        read = settled(read.select("__ctext", F.col("__ctext__p").alias(f"{c}__pair"), F.col("__ctext__o").alias(f"{c}__own")), "__ctext")
+        stage = stage.withColumn("__ckey", odd).join(read, F.col("__ckey") == F.col("__ctext"), "left").drop("__ckey", "__ctext")
 
     def cell(c: str, axis: str) -> Column:
         v, own = F.col(f"`{c}`"), F.col(f"`{c}__own`")
