@@ -15,6 +15,7 @@ from quadrat.operators.countries import resolved_tokens
 from quadrat.operators.mapping import is_measurement_column, measure_share
 from quadrat.operators.numbering import repeated_flag
 from quadrat.operators.taxa import parsed_names
+from quadrat.session import settled
 
 # Problem types in display order with their family and whether one fix serves many cells.
 PROBLEM_TYPES = {
@@ -134,7 +135,9 @@ def _with_lookups(
     facts: dict[str, Column] = {}
     if facts_wanted:
         totals = df.agg(*[v.alias(f"f{i}") for i, v in enumerate(facts_wanted.values())])
-        facts = {k: totals.select(f"f{i}").scalar() for i, k in enumerate(facts_wanted)}
+        # Staged as columns: a subquery may not stand inside the functions that read an uncertainty.
+        df = df.withColumns({f"__f{i}": totals.select(f"f{i}").scalar() for i in range(len(facts_wanted))})
+        facts = {k: F.col(f"__f{i}") for i, k in enumerate(facts_wanted)}
     dated = [t for t in D.DATE_TERMS if t in columns]
     base = D.dates_to_iso(df, dated, year, None, "__iso", "__amb") if dated else df
     staged = {f"__{c}_iso_ok": D.is_iso_date(_col(c)) for c in dated}
@@ -143,12 +146,12 @@ def _with_lookups(
         staged[f"__{c}_year_bad"] = flags["future"] | flags["ancient"]
     base = base.withColumns(staged) if staged else base
     if "scientificName" in columns:
-        issues = parsed_names(df, "scientificName").select("__name", F.col("parts.nameIssue").alias("__issue"))
+        issues = settled(parsed_names(df, "scientificName").select("__name", F.col("parts.nameIssue").alias("__issue")), "__name")
         base = base.join(issues, F.col("scientificName") == F.col("__name"), "left")
     if {"country", "countryCode"} <= set(columns):
         from quadrat.functions.text import country_token
 
-        codes = resolved_tokens(df, ["country", "countryCode"], reference)
+        codes = settled(resolved_tokens(df, ["country", "countryCode"], reference), "token")
         for source, target in (("country", "__iso_country"), ("countryCode", "__iso_code")):
             side = codes.select(F.col("token").alias("__token"), F.col("iso3").alias(target))
             base = base.withColumn("__t", country_token(source)).join(
