@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.names import DERIVED_TERMS, query_name, with_parts
 from quadrat.functions.text import blank_to_null, is_blank, match_form, text
 from quadrat.operators.numbering import first_per_key, last_per_key
+from quadrat.session import settled
 
 TAXON_TERMS = (*DERIVED_TERMS, "scientificNameAuthorship")
 
@@ -20,7 +21,7 @@ def parsed_names(df: DataFrame, column: str, key: str = "__name") -> DataFrame:
 
 def with_name_parts(df: DataFrame, column: str = "scientificName", out: str = "parts") -> DataFrame:
     """Attach the parsed parts of each name. Only distinct names are parsed."""
-    parsed = parsed_names(df, column).withColumnRenamed("parts", out)
+    parsed = settled(parsed_names(df, column).withColumnRenamed("parts", out), "__name")
     return df.join(parsed, F.col(f"`{column}`") == F.col("__name"), "left").drop("__name")
 
 
@@ -30,7 +31,8 @@ def taxon_key(parts: Column) -> Column:
 
 
 def with_taxon_key(df: DataFrame, column: str = "scientificName", out: str = "taxon_key") -> DataFrame:
-    return with_name_parts(df, column, "__parts").withColumn(out, taxon_key(F.col("__parts"))).drop("__parts")
+    keys = settled(parsed_names(df, column).select("__name", taxon_key(F.col("parts")).alias(out)), "__name")
+    return df.join(keys, F.col(f"`{column}`") == F.col("__name"), "left").drop("__name")
 
 
 def listed_taxa(names: DataFrame, column: str = "scientificName") -> DataFrame:
