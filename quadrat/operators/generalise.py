@@ -15,7 +15,7 @@ from quadrat.functions.text import any_of, is_blank, literal_map, text
 from quadrat.operators.mapping import coordinate_like_header, is_measurement_column, ordered_columns
 from quadrat.operators.spatial import locate
 from quadrat.operators.taxa import resolve_sensitivity
-from quadrat.session import ensure_checkpoint_dir
+from quadrat.session import BROADCAST_ROWS, settled, written
 
 TIER_GRIDS = {"extreme": 1.0, "high": 0.1, "medium": 0.01, "low": 0.001}
 TIERS = tuple(TIER_GRIDS)
@@ -130,6 +130,18 @@ def snap_grid(df: DataFrame, lat: Column, lon: Column, metres: Column) -> Column
     return F.when(candidate & (finest < grid), grid)
 
 
+def _with_uncertainty(df: DataFrame) -> DataFrame:
+    """Adds `p_prior`, the stated uncertainty in metres, and `__ambiguous`; each distinct text is read once."""
+    column = "coordinateUncertaintyInMeters"
+    if column not in df.columns:
+        return df.withColumns({"p_prior": F.lit(None).cast("double"), "__ambiguous": F.lit(False)})
+    own = F.col(f"`{column}`").cast("string")
+    texts = df.select(own.alias("__utext")).filter(~is_blank("__utext")).distinct()
+    read = texts.withColumns({"p_prior": M.uncertainty_metres("__utext"), "__ambiguous": M.ambiguous_uncertainty("__utext")})
+    joined = df.join(settled(read, "__utext"), own == F.col("__utext"), "left").drop("__utext")
+    return joined.withColumn("__ambiguous", F.coalesce("__ambiguous", F.lit(False)))
+
+
 def generalisation_plan(
     df: DataFrame, levels: DataFrame, threatened: DataFrame, decisions: DataFrame | None = None
 ) -> DataFrame:
@@ -145,13 +157,12 @@ def generalisation_plan(
         {"sensitive": "__sensitive", "category": "p_category"}
     )
     base = base.join(tiers, F.col("scientificName") == F.col("__sp"), "left").drop("__sp")
+    base = _with_uncertainty(base)
     base = base.withColumns(
         {
             "p_tier": F.coalesce("__tier", F.lit("not_sensitive")),
             "p_lat": C.coord_number("decimalLatitude"),
             "p_lon": C.coord_number("decimalLongitude"),
-            "p_prior": M.uncertainty_metres(_cell(df, "coordinateUncertaintyInMeters")),
-            "__ambiguous": M.ambiguous_uncertainty(_cell(df, "coordinateUncertaintyInMeters")),
             "p_stored": F.greatest(
                 C.decimal_grid("decimalLatitude"), C.decimal_grid("decimalLongitude"),
                 M.number(text(_cell(df, "coordinatePrecision"))),
@@ -166,11 +177,14 @@ def generalisation_plan(
         {
             "p_grid": tier_grid(F.col("p_tier")),
             "__ok": C.usable_point(lat, lon),
-            "__snap": snap_grid(df, lat, lon, F.col("__metres")),
             "__before": already_generalised(df, F.col("__metres")),
         }
     )
     base = base.withColumn("__sens", F.col("__sensitive") & F.col("p_grid").isNotNull())
+    # Cells are measured only around points that may be moved: distances from NULL cost nothing.
+    wide = F.col("__sens") & F.col("__ok") & (F.col("__metres") >= M.ALREADY_GENERALISED_M)
+    base = base.withColumns({"__wide_lat": F.when(wide, lat), "__wide_lon": F.when(wide, lon)})
+    base = base.withColumn("__snap", snap_grid(df, F.col("__wide_lat"), F.col("__wide_lon"), F.col("__metres")))
     base = base.withColumn("p_snap", F.col("__sens") & F.col("__ok") & F.col("__snap").isNotNull())
     base = base.withColumn("__masked", F.col("__before") & ~F.col("p_snap"))
     base = base.withColumns(
@@ -196,7 +210,7 @@ def generalisation_plan(
     )
     radius = C.cell_radius_m(F.col("p_eff_grid"), F.col("p_pub_lon"), F.col("p_pub_lat"))
     base = base.withColumn("p_metres", F.ceil(radius + F.coalesce("p_prior", F.lit(0.0))))
-    done = base.drop("__sensitive", "__tier", "__ambiguous", "__metres", "__place", "__ok", "__snap", "__before", "__sens", "__masked", "__base")
+    done = base.drop("__sensitive", "__tier", "__ambiguous", "__metres", "__place", "__ok", "__wide_lat", "__wide_lon", "__snap", "__before", "__sens", "__masked", "__base")
     return fence(done, plan_columns(done))
 
 
@@ -326,14 +340,13 @@ def find_point_copies(cells: DataFrame, points: DataFrame) -> DataFrame:
     steps wide on both axes, so an equi-join on the box compares it to the points of that box only, not to all that
     share one axis. Equal pairs of several texts are compared once. Tokens and points are read several times, so both
     are written to the checkpoint folder first."""
-    ensure_checkpoint_dir(cells.sparkSession)
-    points = points.checkpoint()
+    points = written(points)
     most = points.agg(F.max("grid").alias("g"), F.max(F.abs("lat")).alias("lat"), F.max(F.abs("lon")).alias("lon"))
     texts = cells.filter(might_hold_point(F.col("text")))
     tokens = texts.select(
         "cell_id", "own_lat", "own_lon", F.explode(point_tokens(F.col("text"))).alias("t")
     ).select("cell_id", "own_lat", "own_lon", "t.*").filter(~F.col("bare"))
-    tokens = tokens.filter(F.col("step") < most.select("g").scalar()).checkpoint()
+    tokens = written(tokens.filter(F.col("step") < most.select("g").scalar()))
 
     def reach(step: Column) -> Column:
         return step / 2 + 1e-9
@@ -363,6 +376,8 @@ def find_point_copies(cells: DataFrame, points: DataFrame) -> DataFrame:
         t = F.col(token)
         return (F.abs(t["value"] - F.abs(axis)) <= reach(t["step"])) & (t["step"] < F.col("grid"))
 
+    # Counted: the size of compressed files would let far too many boxes pass for small.
+    placed = F.broadcast(placed) if points.count() * len(SIDES) ** 2 <= BROADCAST_ROWS else placed.hint("merge")
     met = boxed.join(placed, ["side_a", "side_b", "box_a", "box_b"]).filter(near("a", "lat") & near("b", "lon"))
     hits = pairs.join(met.select("a", "b", "lat", "lon", "grid", "pub_lat", "pub_lon"), ["a", "b"])
     own = tokens.groupBy("cell_id").agg(F.max(F.struct("own_lat", "own_lon")).alias("own"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import cached_property
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from quadrat.operators import payloads as P
 from quadrat.operators import quality, stats
 from quadrat.operators.countries import with_is_brazilian
 from quadrat.operators.taxa import rekey_decisions, threatened_category
-from quadrat.session import ensure_checkpoint_dir
+from quadrat.session import written
 
 TERM_ROOT = "http://rs.tdwg.org/dwc/terms/"
 DUBLIN_TERMS = {"type", "modified", "language", "license", "rightsHolder", "references", "bibliographicCitation"}
@@ -49,8 +51,8 @@ class ExportInputs:
 
 @dataclass
 class ExportProduct:
-    core: DataFrame
-    measurements: DataFrame | None
+    core: DataFrame = field(repr=False)
+    measurements: DataFrame | None = field(repr=False)
     private: DataFrame | None
     changes: DataFrame
     #: What `rows_under_review` reads: the records before masking, their row plan, protected points, unmapped headers.
@@ -61,6 +63,27 @@ class ExportProduct:
     dropped: DataFrame | None = None
 
 
+class LaterProduct(ExportProduct):
+    """A product whose core and measurements are made when one of them is first asked for: the private table, the
+    change log and the review read the row plan alone."""
+
+    def __init__(self, make: Callable[[], tuple[DataFrame, DataFrame | None]], **known: object) -> None:
+        vars(self).update(known)
+        self._make = make
+
+    @cached_property
+    def _tables(self) -> tuple[DataFrame, DataFrame | None]:
+        return self._make()
+
+    @property
+    def core(self) -> DataFrame:
+        return self._tables[0]
+
+    @property
+    def measurements(self) -> DataFrame | None:
+        return self._tables[1]
+
+
 def conservation_status(
     df: DataFrame, threatened: DataFrame | None = None, red_list: DataFrame | None = None, generalised: DataFrame | None = None, row_id: str = "row_id"
 ) -> DataFrame:
@@ -85,11 +108,10 @@ def conservation_status(
 def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct:
     """The whole export. Masking comes before number conversion (trailing zeros still tell the stored
     precision), status after masking. The row plan is written once to the checkpoint folder because the
-    public table, the private table and the point set all read it."""
+    public table, the private table and the point set all read it; the public table is made when it is asked for."""
     effective = P.apply_payloads(inputs.records, inputs.reviews, inputs.ranks, inputs.corrections, inputs.fills)
     if effective is not inputs.records:
-        ensure_checkpoint_dir(inputs.records.sparkSession)
-        effective = effective.checkpoint()
+        effective = written(effective)
     masked, private, points, moved, whole = effective, None, None, None, None
     extras, names = inputs.extras, {}
     if extras is not None:
@@ -99,33 +121,37 @@ def build_product(inputs: ExportInputs, row_id: str = "row_id") -> ExportProduct
         decisions = inputs.decisions
         if decisions is not None and inputs.reviews is not None:
             decisions = rekey_decisions(decisions, inputs.reviews)
-        ensure_checkpoint_dir(inputs.records.sparkSession)
-        plan = G.generalisation_plan(effective, inputs.levels, inputs.threatened, decisions).checkpoint()
+        plan = written(G.generalisation_plan(effective, inputs.levels, inputs.threatened, decisions))
         points = G.protected_points(plan)
         masked, private = G.mask_locations(plan, row_id, G.clean_justification(inputs.justification, points))
-        masked = masked.checkpoint()
         moved = plan.filter("p_target OR p_withheld").select(row_id)
         whole = plan if extras is None else plan.join(extras, row_id, "left")
         if extras is not None:
             hidden = F.col("p_target") | F.col("p_withheld")
             clean = M.blank_coordinate_cells(whole, list(names.values()), hidden, F.col("p_lat"), F.col("p_lon"), F.col("p_eff_grid"))
             extras = clean.select(row_id, *[F.col(f"`{n}`") for n in names.values()])
-    status = conservation_status(
-        masked, inputs.threatened if inputs.national_status else None, inputs.red_list, moved, row_id
-    )
-    core = M.normalise_for_export(status, inputs.as_of_year, row_id)
-    if extras is not None:
-        core = core.join(extras, row_id, "left")
-    if inputs.dropped is not None:
-        core = core.join(inputs.dropped.select(row_id), row_id, "left_anti")
-        private = None if private is None else private.join(inputs.dropped.select(row_id), row_id, "left_anti")
-    if points is not None:
-        core = core.checkpoint()
-        keep = {row_id, "occurrenceID", "decimalLatitude", "decimalLongitude", "footprintWKT", "footprintSRS"}
-        core = G.redact_point_pairs(core, points, [c for c in core.columns if c not in keep], row_id)
-    core, measurements = M.split_measurements(core)
+    if private is not None and inputs.dropped is not None:
+        private = private.join(inputs.dropped.select(row_id), row_id, "left_anti")
+
+    def public() -> tuple[DataFrame, DataFrame | None]:
+        shown = masked if points is None else written(masked)
+        status = conservation_status(
+            shown, inputs.threatened if inputs.national_status else None, inputs.red_list, moved, row_id
+        )
+        core = M.normalise_for_export(status, inputs.as_of_year, row_id)
+        if extras is not None:
+            core = core.join(extras, row_id, "left")
+        if inputs.dropped is not None:
+            core = core.join(inputs.dropped.select(row_id), row_id, "left_anti")
+        if points is not None:
+            core = written(core)
+            keep = {row_id, "occurrenceID", "decimalLatitude", "decimalLongitude", "footprintWKT", "footprintSRS"}
+            core = G.redact_point_pairs(core, points, [c for c in core.columns if c not in keep], row_id)
+        return M.split_measurements(core)
+
     changes = M.change_log(inputs.records, effective, inputs.edits, moved, inputs.dropped, row_id)
-    return ExportProduct(core, measurements, private, changes, effective, whole, points, tuple(names), inputs.dropped)
+    return LaterProduct(
+        public, private=private, changes=changes, records=effective, plan=whole, points=points, headers=tuple(names), dropped=inputs.dropped)
 
 
 def _unreadable_points(records: DataFrame, row_id: str) -> DataFrame:
