@@ -9,7 +9,7 @@ counted in each distinct chunk, weighted by that chunk's frequency, it is counte
 Phrases are counted by length, as pairs of the hash of all words but the last and the hash of the last. A phrase can be
 frequent only if the two phrases one word shorter are. Those pass through a bit table of fixed size: it keeps
 rare phrases from being shuffled and, as it lets every frequent one through, changes no count. The words of the
-frequent ones are put together by joins from length to length, and their text is read off the dictionary at the
+frequent ones are put together by joins from length to length, and their text from that of their words at the
 end, for the listed phrases only.
 
 Words and phrases are told apart by 64-bit hashes, of which the word's own holds its language."""
@@ -34,7 +34,7 @@ SCALE = 2_000_000
 TRIGGER = 24
 OVERLAP = LONGEST - 1
 #: Words counted together before the task hands counts on; it bounds memory, the results do not depend on it.
-AT_ONCE = 3 << 18
+AT_ONCE = 3 << 19
 _KNOWN_WORDS = 1 << 17
 _P1 = np.uint64(0x9E3779B97F4A7C15)
 MARK = b"."
@@ -145,6 +145,14 @@ def _summed(times: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
     return *[k[new] for k in keys], np.add.reduceat(times[order], new)
 
 
+def _first_of_each(times: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, the sum of its times)."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return order[new], np.add.reduceat(times[order], new)
+
+
 def _counted(dictionary: DataFrame, length: int, shorter: bytes, least: int) -> DataFrame:
     """(head, last, f) of the phrases of `length` words; `head` is the hash of all words but the last.
 
@@ -165,18 +173,22 @@ def _counted(dictionary: DataFrame, length: int, shorter: bytes, least: int) ->
 
 
 def _words_counted(dictionary: DataFrame) -> DataFrame:
-    """(lang, w, f): how often each word, named by its hash, stands in its language."""
+    """(lang, w, f, word): how often each word, named by its hash, stands in its language, and its text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for stream in _streams(batches):
+        for stream in _streams(batches, with_words=True):
             at = np.flatnonzero(stream.starts & stream.is_word)
             if len(at):
-                word, lang, f = _summed(stream.times[at], stream.hash[at], stream.lang[at].astype(np.uint64))
-                names = pa.array(stream.langs).take(pa.array(lang.astype(np.int64)))
-                yield pa.record_batch([names, pa.array(word.view(np.int64)), pa.array(f)], ["lang", "w", "f"])
+                place, f = _first_of_each(stream.times[at], stream.hash[at])
+                place = at[place]
+                names = pa.array(stream.langs).take(pa.array(stream.lang[place]))
+                texts = pa.array([stream.words[i] for i in place.tolist()], pa.binary()).cast(pa.string())
+                yield pa.record_batch([names, pa.array(stream.hash[place].view(np.int64)), pa.array(f), texts],
+                                      ["lang", "w", "f", "word"])
 
-    rows = dictionary.mapInArrow(count, "lang string, w long, f long")
-    return rows.groupBy("lang", "w").agg(F.sum("f").alias("f"))
+    rows = dictionary.mapInArrow(count, "lang string, w long, f long, word string")
+    texts = F.first("word").alias("word")  # one hash, one text
+    return rows.groupBy("lang", "w").agg(F.sum("f").alias("f"), texts)
 
 
 def _name(length: int) -> Column:
@@ -221,22 +233,11 @@ def _uncovered(scored: DataFrame, percent: int) -> DataFrame:
     return scored.join(longer, "ws", "left").filter(~covered).drop("longer")
 
 
-def _texts(dictionary: DataFrame, listed: DataFrame, longest: int) -> DataFrame:
-    """(h, phrase): the text of the phrases whose hash is in `listed`."""
-    table = bit_table(listed, "h")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for stream in _streams(batches, with_words=True):
-            texts: dict[int, bytes] = {}
-            for length in range(2, longest + 1):
-                name, good = stream.phrases(length)
-                good &= stream.starts[:len(good)] & is_listed(table, name)
-                for i in np.flatnonzero(good).tolist():
-                    texts.setdefault(int(name[i].view(np.int64)), b" ".join(stream.words[i:i + length]))
-            yield pa.record_batch([pa.array(list(texts), pa.int64()), pa.array(texts.values(), pa.binary()).cast(pa.string())],
-                                  ["h", "phrase"])
-
-    return dictionary.mapInArrow(read, "h long, phrase string").groupBy("h").agg(F.min("phrase").alias("phrase"))
+def _texts(words: DataFrame, listed: DataFrame) -> DataFrame:
+    """(h, phrase): the text of the phrases (h, ws) in `listed`, put together from the texts of their words."""
+    parts = listed.select("h", F.posexplode("ws").alias("i", "w"))
+    named = parts.join(words.select("w", "word"), "w").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("words"))
+    return named.select("h", F.array_join("words.word", " ").alias("phrase"))
 
 
 def collocations(docs: DataFrame, listed: int = LISTED, least: int = LEAST, percent: int = COVERED_PERCENT,
@@ -258,7 +259,7 @@ def collocations(docs: DataFrame, listed: int = LISTED, least: int = LEAST, perc
     first = kept.withColumn("place", F.rank().over(best)).filter(F.col("place") <= listed).drop("place")
     name = F.coalesce(*[F.when(F.size("ws") == length, _name(length)) for length in range(2, longest + 1)])
     first = stored(first.withColumn("h", name), "first-phrases")
-    texts = stored(_texts(dictionary, first, longest), "phrase-texts")
+    texts = stored(_texts(words, first), "phrase-texts")
     named = first.join(texts, "h").join(sizes, "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     named = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= listed)

@@ -71,3 +71,13 @@ def test_chunks_are_few_where_texts_repeat(spark):
     found = phrases.chunk_dictionary(spark.createDataFrame(rows, "lang string, text string").repartition(4)).collect()
     assert {r.times for r in found} == {40} and len(found) > 50
     assert sum(r.places * r.times for r in found) == 40 * 3000
+
+
+def test_words_keep_their_text(spark):
+    """Listed phrases take their text from their words; the chunks are not read again for it."""
+    rows = [("en", "red fox, Red fox\tof"), ("de", "fox red"), (None, "fox")]
+    words = phrases._words_counted(phrases.chunk_dictionary(spark.createDataFrame(rows, "lang string, text string")))
+    assert {(r.lang, r.word): r.f for r in words.collect()} == {
+        ("en", "red"): 2, ("en", "fox"): 2, ("en", "of"): 1, ("de", "fox"): 1, ("de", "red"): 1, ("und", "fox"): 1}
+    first = words.selectExpr("w AS h", "array(w, w) AS ws")
+    assert {r.phrase for r in phrases._texts(words, first).collect()} == {"red red", "fox fox", "of of"}
